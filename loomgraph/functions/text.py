@@ -26,10 +26,10 @@ SLICE_TERM = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 ZONE_IGNORED = ("src", "lib", "app", "source")
 DEPENDENCY_SUFFIXES = ("py", "js", "ts", "go", "rs")
 
-# Directories that never belong to a corpus.
+# Directories that never belong to a corpus. A tool's own state folder is
+# passed by the caller.
 EXCLUDED_DIRECTORIES = (
     ".git",
-    ".codecortex",
     ".venv",
     "venv",
     "node_modules",
@@ -107,10 +107,9 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def is_excluded(path: Column) -> Column:
-    return F.arrays_overlap(
-        F.split(path, "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRECTORIES])
-    )
+def is_excluded(path: Column, extra: tuple[str, ...] = ()) -> Column:
+    names = (*EXCLUDED_DIRECTORIES, *extra)
+    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in names]))
 
 
 def zone(path: Column) -> Column:

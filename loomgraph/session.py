@@ -17,6 +17,8 @@ class Tables:
     """Lazy parquet tables of one folder: ``Tables(spark, dir).orders``."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
+        # Event times carry no zone; reading them as UTC keeps results independent of the host.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder.rstrip("/")
 
