@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from loomgraph.plans import events, scalars  # noqa: F401
+from loomgraph.plans import events, scalars, stores  # noqa: F401
 from loomgraph.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
