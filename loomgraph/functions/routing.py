@@ -53,6 +53,10 @@ def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
     return hit
 
 
+def _equals(name: str):
+    return lambda item: item == name
+
+
 def classify(query: Column) -> Column:
     """Kind with most distinct term hits; the first listed kind wins a tie."""
     text = F.lower(query)
@@ -90,7 +94,7 @@ def capability_scores(
             cost = 0.10 if name == "context" else 0.05
             score = score - F.when(latency_sensitive, cost).otherwise(0.0)
         if preferred is not None:
-            wanted = F.size(F.filter(preferred, lambda p, n=name: p == n))
+            wanted = F.size(F.filter(preferred, _equals(name)))
             score = score + F.greatest(wanted, F.lit(0)) * 0.20
         entries += [F.lit(name), score]
     return F.create_map(*entries)

@@ -148,6 +148,10 @@ def asof(
     return left.join(found, match, "left").select(*left.columns, output)
 
 
+def _block_size(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int"))
+
+
 def dyadic_cover(start: Column, end: Column, bits: int = DYADIC_BITS) -> Column:
     """Dyadic blocks whose disjoint union is the closed interval ``[start, end]``.
 
@@ -156,7 +160,7 @@ def dyadic_cover(start: Column, end: Column, bits: int = DYADIC_BITS) -> Column:
     """
 
     def per_level(level: Column) -> Column:
-        size = F.shiftleft(F.lit(1).cast("long"), level.cast("int"))
+        size = _block_size(level)
         low = F.ceil(start.cast("double") / size).cast("long")
         high = F.floor((end.cast("long") + 1).cast("double") / size).cast("long")
         after = low + (low % 2)
@@ -180,11 +184,7 @@ def dyadic_path(position: Column, bits: int = DYADIC_BITS) -> Column:
         F.sequence(F.lit(0), F.lit(bits)),
         lambda level: F.struct(
             level.cast("int").alias("level"),
-            F.floor(
-                position.cast("double") / F.shiftleft(F.lit(1).cast("long"), level.cast("int"))
-            )
-            .cast("long")
-            .alias("block"),
+            F.floor(position.cast("double") / _block_size(level)).cast("long").alias("block"),
         ),
     )
 
@@ -198,6 +198,7 @@ def stab(
     end: str,
     best: Column,
     output: str,
+    bits: int = DYADIC_BITS,
 ) -> DataFrame:
     """Best interval covering each position, per key (``max`` over the ``best`` struct).
 
@@ -208,13 +209,13 @@ def stab(
     keys = list(keys)
     blocks = (
         intervals.filter(F.col(start) <= F.col(end))
-        .select(*keys, best.alias("_best"), F.explode(dyadic_cover(F.col(start), F.col(end))).alias("_b"))
+        .select(*keys, best.alias("_best"), F.explode(dyadic_cover(F.col(start), F.col(end), bits)).alias("_b"))
         .groupBy(*keys, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
         .agg(F.max("_best").alias("_best"))
     )
     wanted = points.select(*keys, F.col(position).alias("_pos")).distinct()
     hits = (
-        wanted.select("*", F.explode(dyadic_path(F.col("_pos"))).alias("_b"))
+        wanted.select("*", F.explode(dyadic_path(F.col("_pos"), bits)).alias("_b"))
         .select(*keys, "_pos", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
         .join(blocks, [*keys, "_level", "_block"])
         .groupBy(*keys, "_pos")

@@ -710,7 +710,7 @@ def memory_history(t) -> DataFrame:
       union all
       select w.namespace, w.key, w.seq, w.rn, w.expected is null or w.expected = r.cur, r.cur + (w.expected is null or w.expected = r.cur)::int
       from r join w on w.namespace = r.namespace and w.key = r.key and w.rn = r.rn + 1)
-    select namespace, key, seq, accepted, case when accepted then cast(cur as bigint) end as revision, case when not accepted then cast(cur as bigint) end as found from r
+    select namespace, key, seq, accepted, case when accepted then cast(cur as bigint) else -1 end as revision, case when not accepted then cast(cur as bigint) else -1 end as found from r
     """,
 )
 def optimistic_writes(t) -> DataFrame:
@@ -719,7 +719,12 @@ def optimistic_writes(t) -> DataFrame:
         seq % 5 != 0, F.floor((seq * 7) % 23 / 4) + F.floor(seq / 800)
     ).cast("long")
     return memory.optimistic_writes(writes(t).withColumn("expected", expected)).select(
-        "namespace", "key", "seq", "accepted", "revision", "found"
+        "namespace",
+        "key",
+        "seq",
+        "accepted",
+        F.coalesce("revision", F.lit(-1)).cast("long").alias("revision"),
+        F.coalesce("found", F.lit(-1)).cast("long").alias("found"),
     )
 
 

@@ -143,11 +143,12 @@ def _orempty(records: Column) -> Column:
 
 def _sections(text: Column, sections: dict[str, str], make) -> Column:
     """Concatenate the entries of several ``name -> spec`` objects of a JSON document."""
-    parts = []
-    for path, scope in sections.items():
+
+    def section(path: str, scope: str) -> Column:
         entries = F.map_entries(F.from_json(F.get_json_object(text, path), "map<string,string>"))
-        parts.append(_orempty(F.transform(entries, lambda e, s=scope: make(e["key"], e["value"], s))))
-    return F.concat(*parts)
+        return _orempty(F.transform(entries, lambda e: make(e["key"], e["value"], scope)))
+
+    return F.concat(*[section(path, scope) for path, scope in sections.items()])
 
 
 def _spec_version(spec: Column) -> Column:
