@@ -58,6 +58,11 @@ def _closeness_keys(path: Column) -> Column:
     return F.concat(fixed, shared)
 
 
+def _four_places(value: Column) -> Column:
+    """Decimal rounding, half up, so a tie does not depend on binary representation."""
+    return F.round(value.cast("decimal(18,10)"), 4).cast("double")
+
+
 def resolve_targets(relations: DataFrame, candidates: DataFrame) -> DataFrame:
     """Rank same-name symbols for each relation without pairing them.
 
@@ -129,8 +134,8 @@ def resolve_targets(relations: DataFrame, candidates: DataFrame) -> DataFrame:
         "kind",
         "target",
         F.col("_top")[0]["id"].alias("target_id"),
-        F.round(confidence, 4).alias("resolution_confidence"),
-        F.round(ambiguity, 4).alias("ambiguity"),
+        _four_places(confidence).alias("resolution_confidence"),
+        _four_places(ambiguity).alias("ambiguity"),
         F.size("_top").alias("candidate_count"),
         F.transform(
             "_top", lambda c: F.struct(c["id"].alias("id"), F.round(-c["neg"], 4).alias("score"), c["reasons"].alias("reasons"))

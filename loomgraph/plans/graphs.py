@@ -518,7 +518,7 @@ def path_candidates(t) -> DataFrame:
     d as (select path, kind, target, max(id) filter (rn = 1) as target_id, max(score) filter (rn = 1) as s1, coalesce(max(score) filter (rn = 2), 0.0) as s2, least(5, count(*)) as n from k group by all),
     x as (select *, case when n = 1 then 0.0 else greatest(0.0, least(1.0, 1.0 - greatest(0.0, s1 - s2))) end as amb from d)
     select r.path, r.kind, r.target, coalesce(target_id, case when r.kind = 'imports' then 'module:' else 'reference:' end || r.target) as target_id,
-      coalesce(round(greatest(0.0, least(1.0, s1 * (1.0 - 0.45 * amb))) - 1e-10, 4), 0.0) as resolution_confidence, coalesce(round(amb, 4), 1.0) as ambiguity, cast(coalesce(n, 0) as integer) as candidate_count
+      case when target_id is null then 0.0::double else round(greatest(0.0, least(1.0, s1 * (1.0 - 0.45 * amb)))::decimal(18, 10), 4)::double end as resolution_confidence, case when target_id is null then 1.0::double else round(amb::decimal(18, 10), 4)::double end as ambiguity, cast(coalesce(n, 0) as integer) as candidate_count
     from r left join x using (path, kind, target)
     """,
 )
