@@ -42,7 +42,7 @@ def python_files(t) -> DataFrame:
 PY_SQL = "p as (select 'r' || (p_partkey % 20) as repo, 'pkg/m' || p_partkey || '.py' as path, p_partkey as k, p_size as size, replace(p_name, ' ', '_') as w from part where p_partkey % 17 <> 0)"
 PY_UNITS_SQL = """
   select repo, path, 'C' || size as name, 'class' as kind, 5 as line, 7 as end_line, '' as signature, '' as return_type, 'Base' || (k % 7) as bases, '' as refs, '' as container, 'python' as language from p
-  union all select repo, path, 'run', 'method', 6, 7, '(self, x)', 'str', '', 'int,str,helper,x,' || w || ',x', 'C' || size, 'python' from p
+  union all select repo, path, 'run', 'method', 6, 7, '(self, x)', 'str', '', 'str,int,helper,x,' || w || ',x', 'C' || size, 'python' from p
   union all select repo, path, w, 'async_function', 10, 12, '(a, *c, *b, **d)', '', '', 'log,a,a,os', '', 'python' from p
 """
 
@@ -549,8 +549,9 @@ def precise_fusion(t) -> DataFrame:
 @query(
     "pull_request_report",
     """
-    with f as (select o_custkey % 10 as pr, count(*) as files, cast(sum(o_orderkey % 13 + o_orderkey % 5) as bigint) as churn from orders group by 1)
-    select pr, files, churn from f
+    with f as (select o_custkey % 10 as pr, count(*) as files, cast(sum(o_orderkey % 13 + o_orderkey % 5) as bigint) as churn from orders group by 1),
+    s as (select o_custkey % 10 as pr, count(*) * 2 as symbols from orders where o_orderkey % 20 = 1 and o_orderkey % 17 <> 0 and o_orderkey in (select p_partkey from part) group by 1)
+    select pr, files, churn, coalesce(symbols, 0) as symbols from f left join s using (pr)
     """,
 )
 def pull_request_report(t) -> DataFrame:
@@ -566,4 +567,4 @@ def pull_request_report(t) -> DataFrame:
     nodes, edges = build.build_graph(files)
     totals = files.select("repo", "path", F.size(extract.source_lines(F.col("content"))).alias("lines"))
     report, _, _ = review(changes, hunks, nodes, edges, totals)
-    return report.select("pr", "files", "churn")
+    return report.select("pr", "files", "churn", "symbols")

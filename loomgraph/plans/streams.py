@@ -141,8 +141,8 @@ def alert_scan(t) -> DataFrame:
     "acknowledge",
     """
     with n as (select event_id as id, case when event_id % 10 = 0 then 5 end as acknowledged_at from events where event_type = 'error'),
-    a as (select event_id // 2 as id, event_id as at from events where event_type <> 'error'), f as (select id, min(at) as at from a group by 1)
-    select id as notification_id, coalesce(acknowledged_at, f.at, -1) as acknowledged_at from n left join f using (id)
+    a as (select event_id // 2 as id, event_id as acked from events where event_type <> 'error'), f as (select id, min(acked) as acked from a group by 1)
+    select id as notification_id, coalesce(acknowledged_at, f.acked, -1) as acknowledged_at from n left join f using (id)
     """,
 )
 def acknowledge(t) -> DataFrame:
