@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,7 @@ def _file_matches(source: str, shape: ast.AST, rewrite: str | None) -> Iterator[
             "byte_start": begin,
             "byte_end": end,
             "matched_text": data[begin:end].decode("utf-8", "replace"),
-            "captures": captures,
+            "captures": list(captures.items()),
             "replacement": None
             if rewrite is None
             else _CAPTURE.sub(lambda m: captures.get(m.group(1), m.group(0)), rewrite),
@@ -118,21 +119,23 @@ def structural_search(
     """
     shape = ast.parse(_CAPTURE.sub(lambda m: _HOLE + m.group(1), pattern), mode="eval").body
     fixed = [w for w in re.findall(r"\w+", _CAPTURE.sub(" ", pattern)) if w.isidentifier()]
-    columns = [c.split()[0] for c in MATCH_ROW.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "map<string": pa.map_(pa.string(), pa.string())}
+    fields = [c.split() for c in MATCH_ROW.replace("map<string,string>", "map<string").split(", ")]
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                {"repo": f.repo, "path": f.path, **m}
-                for f in batch.itertuples(index=False)
-                for m in _file_matches(f.content, shape, rewrite)
+                {"repo": file["repo"], "path": file["path"], **match}
+                for file in batch.to_pylist()
+                for match in _file_matches(file["content"], shape, rewrite)
             ]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     kept = files.filter((suffix(F.col("path")) == ".py") & in_scope(F.col("path"), include, exclude))
     for word in fixed:
         kept = kept.filter(F.contains("content", F.lit(word)))
-    matches = kept.select("repo", "path", "content").mapInPandas(scan, MATCH_ROW)
+    matches = kept.select("repo", "path", "content").mapInArrow(scan, MATCH_ROW)
     return matches if limit is None else matches.orderBy("repo", "path", "start_line", "start_column").limit(limit)
 
 
