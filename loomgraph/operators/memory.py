@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import memory_terms
-from loomgraph.operators.scans import SEGMENT_ROWS, ordinal, prefix, segment_of
+from loomgraph.operators.scans import SEGMENT_ROWS, ordinal, prefix, segment_of, top_per
+from loomgraph.operators.search import term_matches
 from loomgraph.session import durable
 
 KEY = ["namespace", "key"]
@@ -52,38 +53,42 @@ def search_team(entries: DataFrame, queries: DataFrame, limit: int = 10) -> Data
 
 
 def _search(entries: DataFrame, queries: DataFrame, limit: int, team: bool) -> DataFrame:
-    """``queries`` has ``query_id, namespace, query``: joined by namespace, then scored.
+    """``queries`` has ``query_id, namespace, query``.
 
-    The scoring plan has one row per (query, entry of its namespace) only until the top-k
-    bound, which is applied inside each task before rows are exchanged.
+    Entries are tested against the distinct terms once; only matches are joined to the
+    queries of their namespace, so a namespace is not read again for every query. A query
+    without terms returns the first entries of its namespace (team memory only).
     """
     terms = memory_terms(F.lower("query"))
-    wanted = queries.select(
-        "query_id", "namespace", (terms if team else F.array_distinct(terms)).alias("_terms")
-    )
-    hay = F.lower(
-        F.concat_ws(" ", "key", "value", F.array_join("tags", " ")) if team else F.concat_ws(" ", "key", "value")
-    )
-    joined = entries.withColumn("_hay", hay).join(wanted, "namespace")
-    low_key = F.lower("key")
-
-    def weight(term):
-        inside = F.contains(F.col("_hay"), term)
-        if team:
-            return F.when(~inside, 0).when(F.contains(low_key, term), 3).otherwise(1)
-        return inside.cast("int")
-
-    score = F.aggregate(F.transform("_terms", weight), F.lit(0), lambda a, b: a + b)
-    scored = joined.withColumn("score", score)
-    scored = scored.filter((F.col("score") > 0) | (F.size("_terms") == 0) if team else F.col("score") > 0)
-    order = Window.partitionBy("query_id").orderBy(
-        F.desc("score"), *([F.asc("updated_at")] if team else []), F.asc("key")
-    )
-    return (
-        scored.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= max(1, limit))
-        .drop("_terms", "_hay")
-    )
+    parsed = queries.select("query_id", "namespace", (terms if team else F.array_distinct(terms)).alias("_terms"))
+    wanted = (
+        parsed.select("query_id", "namespace", F.explode("_terms").alias("term"))
+        .groupBy("query_id", "namespace", "term")
+        .agg(F.count("*").alias("_times"))
+    )
+    tail = [F.array_join("tags", " ")] if team else []
+    hay, low_key = F.lower(F.concat_ws(" ", "key", "value", *tail)), F.lower("key")
+
+    def weigh(term):
+        inside = F.contains(hay, term)
+        found = F.when(F.contains(low_key, term), 3).otherwise(1) if team else F.lit(1)
+        return F.when(inside, found).otherwise(0)
+
+    rest = [c for c in entries.columns if c not in KEY]
+    scored = (
+        term_matches(entries, wanted, [hay], weigh)
+        .join(wanted, ["namespace", "term"])
+        .groupBy("query_id", *KEY)
+        .agg(F.sum(F.col("w") * F.col("_times")).cast("int").alias("score"), F.first(F.struct(*rest)).alias("r"))
+        .select("query_id", *KEY, "r.*", "score")
+    )
+    ties = [*([F.asc("updated_at")] if team else []), F.asc("key")]
+    if team:
+        blank = parsed.filter(F.size("_terms") == 0).select("query_id", "namespace")
+        first = top_per(entries, ["namespace"], ties, max(1, limit)).join(blank, "namespace")
+        scored = scored.unionByName(first.withColumn("score", F.lit(0)).select(*scored.columns))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
+    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max(1, limit))
 
 
 def optimistic_writes(writes: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:

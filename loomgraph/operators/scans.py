@@ -18,6 +18,32 @@ SEGMENT_ROWS = 1 << 16
 DYADIC_BITS = 20
 
 
+#: Spark limits ``row_number`` groups inside input tasks up to this bound on its own.
+GROUP_LIMIT = 1000
+SALTS = 256
+
+
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
+    """First ``k`` rows per key.
+
+    A small bound is applied before the shuffle by the optimizer. For a larger one every key
+    is first cut into salted parts that are limited on their own, so no task sorts a whole
+    hot key.
+    """
+    rows = df
+    if k > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        rows = (
+            df.withColumn("_salt", salt)
+            .withColumn("_rn", F.row_number().over(part))
+            .filter(F.col("_rn") <= k)
+            .drop("_salt", "_rn")
+        )
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= k).drop("_rn")
+
+
 def segment_of(order: Column, size: int = SEGMENT_ROWS) -> Column:
     """Segment number of a unique integer position: at most ``size`` rows share one."""
     return F.floor(order / F.lit(size)).cast("long")

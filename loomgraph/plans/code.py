@@ -31,7 +31,7 @@ def python_files(t) -> DataFrame:
         "async def ", word, "(a, *b, c=1, **d):\n    log('", key, "', a)\n    return os.path.join(a)\n",
     )
     broken = F.when(key % 17 == 0, text("def broken(:\n", body)).otherwise(body)
-    return t.part.select(
+    return t.spread("part").select(
         F.concat(F.lit("r"), (key % 20).cast("string")).alias("repo"),
         text("pkg/m", key, ".py").alias("path"),
         broken.alias("content"),
@@ -68,7 +68,7 @@ def other_files(t) -> DataFrame:
         .otherwise(text("use std::", seg, ";\n\npub struct S", key, " {\n}\npub fn f", key % 7, "(x: u8) -> u8 {\n    g", key % 5, "(x)\n}\n"))
     )
     ending = F.when(kind == 0, "ts").when(kind == 1, "go").when(kind == 2, "java").when(kind == 3, "rb").otherwise("rs")
-    return t.customer.select(
+    return t.spread("customer").select(
         F.concat(F.lit("q"), (key % 10).cast("string")).alias("repo"),
         F.concat(F.lit("src/f"), key.cast("string"), F.lit("."), ending).alias("path"),
         content.alias("content"),

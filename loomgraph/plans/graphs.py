@@ -394,7 +394,7 @@ TEXT_QUERIES = ("the and of", "que ouaux src3", "ering thand 17")
     """,
 )
 def full_text(t) -> DataFrame:
-    files = t.documents.select(
+    files = t.spread("documents").select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")
     )
     hits = search.full_text(files, request_table(t, TEXT_QUERIES), 50)

@@ -375,7 +375,7 @@ def symbol_identity(t) -> DataFrame:
     """,
 )
 def position_convert(t) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
+    lines = t.spread("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
         F.length("line") > 0
     )
     col = F.floor(F.octet_length("line") / 2).cast("int")

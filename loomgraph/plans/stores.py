@@ -197,7 +197,7 @@ def manifest_corpus(t) -> DataFrame:
         .otherwise(text('# yarn\n\n"', name, "@^", size, '":\n  version "', size, '.3.1"\n  resolved "u"\n'))
     )
     broken = (F.col("p_partkey") % 6 == 1) & (F.col("p_partkey") % 4 == 3)
-    return t.part.select(
+    return t.spread("part").select(
         F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("repo"),
         path.alias("path"),
         F.when(broken, F.lit('{"dependencies": ')).otherwise(content).alias("content"),

@@ -28,6 +28,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose few files hold less parallelism than the cluster, dealt out evenly.
+
+        Meant in front of work that is heavy per row. A table of many splits, as at scale, is
+        returned as it is, so no text is shuffled there.
+        """
+        table = getattr(self, name)
+        wanted = self.spark.sparkContext.defaultParallelism
+        return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.text import base_name, strip
+from loomgraph.session import durable
 
 MAX_MANIFEST_BYTES = 8 * 1024 * 1024
 MAX_SCAN_DEPTH = 4
@@ -74,7 +75,7 @@ XML_FORMATS = ("pom", "csproj", "props")
 # Manifest line shapes.
 REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$"
 GO_REQUIRE = r"^\s*(?:require\s+)?([^\s()]+/[^\s()]+|[^\s()]+\.[^\s()]+)\s+(v[^\s/]+)"
-GRADLE = r"""["']([A-Za-z0-9._-]+):([A-Za-z0-9._-]+):([A-Za-z0-9._+-]+)["']"""
+GRADLE = r"""["']([A-Za-z0-9._-]+:[A-Za-z0-9._-]+):([A-Za-z0-9._+-]+)["']"""
 
 RECORD = "struct<name:string,declared:string,resolved:string,scope:string>"
 
@@ -169,20 +170,28 @@ def _pairs(text: Column, pattern: str, make) -> Column:
     return F.zip_with(first, second, make)
 
 
-def _distinct_names(records: Column) -> Column:
-    """First record of each name."""
+def _first_of_name(records: Column) -> Column:
+    """First record of each name, for the formats that list a name only once."""
     names = F.transform(records, lambda r: r["name"])
     return F.filter(records, lambda r, i: F.array_position(names, r["name"]) == i + 1)
 
 
-def _format_records(form: Column, text: Column, doc: Column, path: Column) -> Column:
+PACKAGES = "map<string,struct<version:string>>"
+XML_DOC = (
+    "struct<items:array<struct<tag:string,attributes:map<string,string>,children:map<string,string>>>,"
+    "properties:map<string,string>>"
+)
+
+
+def _format_records(
+    form: Column, text: Column, doc: Column, path: Column, lines: Column, packages: Column, xml: Column
+) -> Column:
     def declared(name, spec, scope):
         return _record(name, _spec_version(spec), None, scope)
 
     def pinned(name, spec, scope):
         return _record(name, None, F.regexp_replace(_spec_version(spec), "^=+", ""), scope)
 
-    lines = F.split(text, r"\r?\n")
     dev_file = F.contains(F.lower(path), F.lit("dev")) | F.contains(F.lower(path), F.lit("test"))
     bare = F.transform(lines, lambda x: strip(F.split_part(x, F.lit("#"), F.lit(1))))
     usable = F.filter(bare, lambda x: (x != "") & ~x.rlike(r"^(-r|--|-c|-e|\.|/)") & x.rlike(REQUIREMENT))
@@ -230,7 +239,6 @@ def _format_records(form: Column, text: Column, doc: Column, path: Column) -> Co
         _sections(doc, {"$.packages": "runtime", "$.dev-packages": "development"}, declared),
         lambda r: _record(r["name"], F.nullif(r["declared"], F.lit("*")), None, r["scope"]),
     )
-    packages = F.from_json(F.get_json_object(text, "$.packages"), "map<string,struct<version:string>>")
     modern = F.transform(
         F.filter(
             F.map_entries(packages),
@@ -271,16 +279,8 @@ def _format_records(form: Column, text: Column, doc: Column, path: Column) -> Co
         F.transform(lines, lambda x: F.split(F.trim(x), r"\s+")),
         lambda p: (F.size(p) >= 2) & ~F.endswith(F.get(p, F.lit(1)), F.lit("/go.mod")),
     )
-    go_sum = _distinct_names(F.transform(sums, lambda p: _record(p[0], None, p[1])))
-    gradle_names = F.regexp_extract_all(text, F.lit(GRADLE), F.lit(1))
-    gradle_rest = _pairs(
-        text.substr(F.lit(1), F.length(text)),
-        GRADLE.replace(r"([A-Za-z0-9._-]+):([A-Za-z0-9._-]+):", r"(?:[A-Za-z0-9._-]+):([A-Za-z0-9._-]+):"),
-        lambda a, v: F.struct(a.alias("a"), v.alias("v")),
-    )
-    gradle = _distinct_names(
-        F.zip_with(gradle_names, gradle_rest, lambda g, r: _record(F.concat(g, F.lit(":"), r["a"]), r["v"]))
-    )
+    go_sum = F.transform(sums, lambda p: _record(p[0], None, p[1]))
+    gradle = _pairs(text, GRADLE, lambda n, v: _record(n, v))
     yarn = _pairs(
         text,
         r"(?m)^\"?((?:@[^/\s\"]+/)?[^@\s\"#]+)@[^\n]*:[ \t]*\r?\n(?:[ \t]+(?!\"?version)[^\n]*\r?\n)*?[ \t]+\"?version\"?:?\s+\"?([^\"\s]+)",
@@ -291,12 +291,6 @@ def _format_records(form: Column, text: Column, doc: Column, path: Column) -> Co
         r"(?m)^\s{2,}'?([^'\s:]+)'?:[ \t]*\r?\n(?:(?!\s{2,}'?[^'\s:]+'?:[ \t]*\r?$)(?!\s+version:)[^\n]*\r?\n)*?[ \t]+version:\s*['\"]?([^'\"\s(]+)",
         lambda n, v: _record(n, None, v),
     )
-    xml = F.from_json(
-        doc,
-        "struct<items:array<struct<tag:string,attributes:map<string,string>,children:map<string,string>>>,"
-        "properties:map<string,string>>",
-    )
-
     def attribute(item, key):
         return F.try_element_at(item["attributes"], F.lit(key))
 
@@ -401,12 +395,13 @@ def manifest_files(files: DataFrame, extra_skipped: tuple[str, ...] = ()) -> Dat
 
 def parse_manifests(files: DataFrame, extra_skipped: tuple[str, ...] = ()) -> DataFrame:
     """One row per manifest: records array plus the error that stopped it, if any."""
-    rows = manifest_files(files, extra_skipped)
+    # Manifests are a sliver of a corpus: kept once, so the corpus is scanned a single time.
+    rows = durable(manifest_files(files, extra_skipped))
     text = F.when(F.octet_length("content") <= MAX_MANIFEST_BYTES, F.col("content"))
     rows = rows.withColumn("_text", text)
     needs_help = F.col("form").isin(*TOML_FORMATS, *XML_FORMATS)
     # The Arrow UDF sees TOML and XML only: other rows pass null through it.
-    rows = rows.withColumn("_doc", restate(F.when(needs_help, F.col("_text")), "form"))
+    rows = durable(rows.withColumn("_doc", restate(F.when(needs_help, F.col("_text")), "form")))
     json_form = F.col("form").isin("package_json", "npm_lock", "pipfile_lock", "nuget_lock")
     bad_json = json_form & F.try_parse_json("_text").isNull()
     error = (
@@ -414,15 +409,25 @@ def parse_manifests(files: DataFrame, extra_skipped: tuple[str, ...] = ()) -> Da
         .when(F.col("_doc.error").isNotNull(), F.col("_doc.error"))
         .when(bad_json, "malformed manifest: not JSON")
     )
-    records = _format_records(F.col("form"), F.col("_text"), F.col("_doc.json"), F.col("path"))
-    return rows.withColumn("error", error).select(
-        "repo",
-        "path",
-        "ecosystem",
-        "form",
-        F.when(F.col("error").isNull(), records).otherwise(_none()).alias("records"),
-        "error",
+    # Inputs used by several formats are staged once instead of being repeated in the CASE.
+    staged = rows.withColumns(
+        {
+            "error": error,
+            "_json": F.when(F.col("form").isin(*TOML_FORMATS), F.col("_doc.json")),
+            "_lines": F.when(F.col("form").isin("requirements", "go_mod", "go_sum"), F.split("_text", r"\r?\n")),
+            "_packages": F.when(F.col("form") == "npm_lock", F.from_json(F.get_json_object("_text", "$.packages"), PACKAGES)),
+            "_xml": F.when(F.col("form").isin(*XML_FORMATS), F.from_json("_doc.json", XML_DOC)),
+        }
+    )
+    records = _format_records(
+        F.col("form"), F.col("_text"), F.col("_json"), F.col("path"), F.col("_lines"), F.col("_packages"), F.col("_xml")
     )
+    listed = staged.filter("error is null").withColumn("_all", records)
+    once = F.when(F.col("form").isin("go_sum", "gradle"), _first_of_name(F.col("_all"))).otherwise(F.col("_all"))
+    columns = ["repo", "path", "ecosystem", "form"]
+    good = listed.select(*columns, once.alias("records"), F.lit(None).cast("string").alias("error"))
+    bad = staged.filter("error is not null").select(*columns, _none().alias("records"), "error")
+    return good.unionByName(bad)
 
 
 def dependency_records(manifests: DataFrame) -> DataFrame:
