@@ -66,13 +66,18 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 def find_targets(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Node each query names: exact name first (symbols before files), else the best search hit."""
-    named = nodes.select(
-        F.lower("name").alias("_name"), "id", F.struct((F.col("kind") == "file").alias("f"), F.coalesce("path", F.lit("")).alias("p"), "id").alias("_o")
-    ).groupBy("_name").agg(F.min_by("id", "_o").alias("id"))
-    exact = queries.withColumn("_name", F.lower("query")).join(named, "_name").select("query_id", "query", "id")
+    order = F.struct((F.col("kind") == "file").alias("f"), F.coalesce("path", F.lit("")).alias("p"), "id")
+    asked = queries.withColumn("_name", F.lower("query"))
+    exact = durable(
+        nodes.withColumn("_name", F.lower("name"))
+        .join(asked, "_name")
+        .groupBy("query_id", "query")
+        .agg(F.min_by("id", order).alias("id"))
+    )
     rest = queries.join(exact, "query_id", "left_anti")
-    found = search_nodes(nodes, rest, 1).select("query_id", "query", "id")
-    return exact.unionByName(found)
+    if rest.isEmpty():
+        return exact
+    return exact.unionByName(search_nodes(nodes, rest, 1).select("query_id", "query", "id"))
 
 
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = IMPACT_DEPTH) -> DataFrame:
@@ -84,21 +89,18 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
     a breadth-first relaxation by risk. ``evidence`` is the label of the last hop. Ties go to
     the smaller (via, evidence).
 
-    Parallel edges are reduced to the strongest one before the loop. Each hop joins the
-    improved frontier with the edges on ``target``; AQE splits a hot target's edges.
+    Pass ``edges`` as a stored table: every hop reads it once and joins the improved frontier
+    on ``target``. A small frontier is broadcast by its measured size, a large one is
+    shuffled, and AQE splits a hot target's edges.
     """
-    steps = durable(
-        weighted(edges)
-        .join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
-        .groupBy(F.col("target").alias("at"), F.col("source").alias("node"))
-        .agg(
-            F.min_by(
-                F.struct("weight", F.col("kind").alias("via"), F.col("resolution").alias("evidence")),
-                F.struct(-F.col("weight"), "kind", "resolution"),
-            ).alias("e")
-        )
-        .select("at", "node", "e.*")
+    steps = weighted(edges).select(
+        F.col("target").alias("at"),
+        F.col("source").alias("node"),
+        "weight",
+        F.col("kind").alias("via"),
+        F.col("resolution").alias("evidence"),
     )
+    known_nodes = nodes.select(F.col("id").alias("node"))
     key = ["target", "node"]
     best_way = F.min_by(
         F.struct("strength", "via", "evidence"), F.struct(-F.col("strength"), "via", "evidence")
@@ -114,6 +116,7 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
             .select("target", "node", (F.col("carried") * F.col("weight")).alias("strength"), "via", "evidence")
             .groupBy(*key)
             .agg(best_way)
+            .join(known_nodes, "node", "left_semi")
             .select(
                 *key,
                 "b.*",

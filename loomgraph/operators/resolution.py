@@ -38,8 +38,8 @@ def _sized(level: Column, size: int) -> Column:
     return F.transform(level, lambda s: F.struct(F.lit(size).alias("size"), s["key"].alias("key")))
 
 
-def _closeness_keys(path: Column) -> Column:
-    """Keys two paths share exactly when they are that close, with the score each is worth."""
+def _folder_keys(path: Column) -> Column:
+    """Keys two paths share when their folders are that close, with the score each is worth."""
 
     def entry(prefix: str, key: Column, worth: Column, reason: str) -> Column:
         return F.struct(
@@ -51,13 +51,39 @@ def _closeness_keys(path: Column) -> Column:
         lambda s: entry("S|", s["key"], (s["size"] * 0.03).cast("double"), "shared_package_path"),
     )
     fixed = F.array(
-        entry("F|", path, F.lit(0.35), "same_file"),
-        entry("D|", directory(path), F.lit(0.20), "same_directory"),
-        entry("", F.lit(""), F.lit(0.0), ""),
+        entry("D|", directory(path), F.lit(0.20), "same_directory"), entry("", F.lit(""), F.lit(0.0), "")
     )
     return F.concat(fixed, shared)
 
 
+def _top(asks: DataFrame, offers: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """Best five candidates per ask as an array of ``(neg score, id, reasons)``."""
+    fits = F.col("group") == F.col("fit")
+    extra = F.when(fits, F.when(F.col("group") == "callable", "callable_kind").otherwise("type_kind"))
+    score = F.least(F.lit(1.0), F.round(0.35 + F.col("worth") + F.when(fits, 0.08).otherwise(0.0), 6))
+    reasons = F.filter(
+        F.array(F.lit("exact_symbol_name"), F.nullif("reason", F.lit("")), extra), lambda r: r.isNotNull()
+    )
+    scored = (
+        asks.join(offers, on)
+        .withColumn("_score", score)
+        .groupBy(*keys, "id")
+        .agg(F.max_by(F.struct("_score", reasons.alias("reasons")), "_score").alias("c"))
+    )
+    # At most five ids per key and group arrive here, so these lists are short by construction.
+    best = F.collect_list(
+        F.struct((-F.col("c._score")).alias("neg"), "id", F.col("c.reasons").alias("reasons"))
+    )
+    return scored.groupBy(*keys).agg(F.slice(F.array_sort(best), 1, MAX_CANDIDATES).alias("top"))
+
+
+def _offers(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The five smallest ids per key and kind group; no other can reach a result."""
+    order = Window.partitionBy(*keys, "group").orderBy("id")
+    ranked = candidates.withColumn("_rn", F.row_number().over(order))
+    return ranked.filter(F.col("_rn") <= MAX_CANDIDATES).select(*keys, "group", "id")
+
+
 def _four_places(value: Column) -> Column:
     """Decimal rounding, half up, so a tie does not depend on binary representation."""
     return F.round(value.cast("decimal(18,10)"), 4).cast("double")
@@ -70,86 +96,60 @@ def resolve_targets(relations: DataFrame, candidates: DataFrame) -> DataFrame:
     id, name, kind, path``. A candidate scores 0.35, plus 0.35 in the same file, 0.20 in the
     same folder or 0.03 per shared folder name (at most 0.12), plus 0.08 when its kind fits.
 
-    Closeness is turned into equality: a file, a folder and every set of up to four folder
-    names are keys, and two paths share a key exactly when they are at least that close. Per
-    (name, key, kind group) only the five smallest ids can matter, so a name defined a
-    million times shrinks to a few rows per key before it meets its relations. The result
-    equals ranking all pairs.
+    Closeness is turned into equality: a folder and every set of up to four folder names are
+    keys, and two paths share a key exactly when they are at least that close. Per (name,
+    key, kind group) only the five smallest ids can matter, so a name defined a million times
+    shrinks to a few rows per key before it meets its relations. Folders are settled once for
+    all of their files, then joined by the candidates of the file itself. The result equals
+    ranking all pairs.
     """
     kind = F.col("kind")
     group = F.when(kind.isin(*CALLABLE_KINDS), "callable").when(kind.isin(*TYPE_KINDS), "type").otherwise("other")
-    keyed = candidates.filter("path is not null").select(
-        "repo", F.col("name").alias("target"), "id", group.alias("group"), F.explode(_closeness_keys(F.col("path"))).alias("k")
-    )
-    order = Window.partitionBy("repo", "target", "key", "group").orderBy("id")
-    offers = (
-        keyed.select("repo", "target", "id", "group", F.col("k.key").alias("key"))
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= MAX_CANDIDATES)
-        .drop("_rn")
-    )
-    asks = relations.select("repo", "path", "kind", "target").distinct()
-    sought = asks.select("*", F.explode(_closeness_keys(F.col("path"))).alias("k")).select(
-        "repo", "path", "kind", "target", F.col("k.key").alias("key"), F.col("k.worth").alias("worth"), F.col("k.reason").alias("reason")
+    known = candidates.filter("path is not null").select(
+        "repo", F.col("name").alias("target"), "id", "path", group.alias("group")
     )
-    fits = ((F.col("kind") == "calls") & (F.col("group") == "callable")) | (
-        F.col("kind").isin("inherits", "implements") & (F.col("group") == "type")
+    fit = F.when(kind == "calls", "callable").when(kind.isin("inherits", "implements"), "type").otherwise("none")
+    asks = relations.select("repo", "path", "target", fit.alias("fit"), directory(F.col("path")).alias("folder"))
+    folder_key = ["repo", "target", "key"]
+    near = _offers(
+        known.select("repo", "target", "id", "group", F.explode(_folder_keys(F.col("path"))["key"]).alias("key")), folder_key
     )
-    extra = F.when(fits, F.when(F.col("group") == "callable", "callable_kind").otherwise("type_kind"))
-    scored = (
-        sought.join(offers, ["repo", "target", "key"])
-        .withColumn("score", F.least(F.lit(1.0), F.round(0.35 + F.col("worth") + F.when(fits, 0.08).otherwise(0.0), 6)))
-        .groupBy("repo", "path", "kind", "target", "id")
-        .agg(
-            F.max_by(
-                F.struct(
-                    "score",
-                    F.filter(
-                        F.array(F.lit("exact_symbol_name"), F.nullif("reason", F.lit("")), extra),
-                        lambda r: r.isNotNull(),
-                    ).alias("reasons"),
-                ),
-                "score",
-            ).alias("c")
-        )
+    folders = asks.select("repo", "folder", "target", "fit").distinct()
+    sought = folders.select(
+        "*", F.explode(_folder_keys(F.concat("folder", F.lit("/x")))).alias("k")
+    ).select("repo", "folder", "target", "fit", "k.key", "k.worth", "k.reason")
+    by_folder = _top(sought, near, folder_key, ["repo", "folder", "target", "fit"])
+    own = asks.select("repo", "path", "target", "fit").distinct().withColumns(
+        {"worth": F.lit(0.35), "reason": F.lit("same_file")}
     )
-    # At most five ids per key and group arrive here, so these lists are short by construction.
-    ranked = scored.groupBy("repo", "path", "kind", "target").agg(
-        F.slice(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("c.score")).alias("neg"), "id", F.col("c.reasons").alias("reasons")))
-            ),
-            1,
-            MAX_CANDIDATES,
-        ).alias("_top")
+    file_key = ["repo", "path", "target"]
+    by_file = _top(own, _offers(known, file_key), file_key, [*file_key, "fit"]).withColumnRenamed("top", "mine")
+    placed = relations.withColumns({"fit": fit, "folder": directory(F.col("path"))})
+    joined = placed.join(by_folder, ["repo", "folder", "target", "fit"], "left").join(
+        by_file, [*file_key, "fit"], "left"
     )
+    none = F.array().cast("array<struct<neg:double,id:string,reasons:array<string>>>")
+    merged = F.array_sort(F.concat(F.coalesce("mine", none), F.coalesce("top", none)))
+    ids = F.transform(merged, lambda c: c["id"])
+    once = F.filter(merged, lambda c, i: F.array_position(ids, c["id"]) == i + 1)
+    listed = joined.withColumn("_top", F.slice(once, 1, MAX_CANDIDATES))
     best = -F.get("_top", F.lit(0))["neg"]
     second = F.coalesce(-F.get("_top", F.lit(1))["neg"], F.lit(0.0))
     margin = F.greatest(F.lit(0.0), best - second)
     ambiguity = F.when(F.size("_top") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - margin)))
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best * (1.0 - 0.45 * ambiguity)))
-    decided = ranked.select(
-        "repo",
-        "path",
-        "kind",
-        "target",
-        F.col("_top")[0]["id"].alias("target_id"),
-        _four_places(confidence).alias("resolution_confidence"),
-        _four_places(ambiguity).alias("ambiguity"),
+    found = F.size("_top") > 0
+    prefix = F.when(F.col("kind") == "imports", "module:").otherwise("reference:")
+    return listed.select(
+        *relations.columns,
+        F.when(found, F.get("_top", F.lit(0))["id"]).otherwise(F.concat(prefix, "target")).alias("target_id"),
+        F.when(found, _four_places(confidence)).otherwise(0.0).alias("resolution_confidence"),
+        F.when(found, _four_places(ambiguity)).otherwise(1.0).alias("ambiguity"),
         F.size("_top").alias("candidate_count"),
         F.transform(
             "_top", lambda c: F.struct(c["id"].alias("id"), F.round(-c["neg"], 4).alias("score"), c["reasons"].alias("reasons"))
         ).alias("candidates"),
     )
-    prefix = F.when(F.col("kind") == "imports", "module:").otherwise("reference:")
-    return relations.join(decided, ["repo", "path", "kind", "target"], "left").select(
-        *relations.columns,
-        F.coalesce("target_id", F.concat(prefix, "target")).alias("target_id"),
-        F.coalesce("resolution_confidence", F.lit(0.0)).alias("resolution_confidence"),
-        F.coalesce("ambiguity", F.lit(1.0)).alias("ambiguity"),
-        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
-        "candidates",
-    )
 
 
 def relation_sources(relations: DataFrame, nodes: DataFrame) -> DataFrame:

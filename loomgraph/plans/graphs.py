@@ -17,6 +17,7 @@ from loomgraph.plans.events import K_SQL, k_value, micros
 from loomgraph.plans.registry import query
 from loomgraph.plans.scalars import HOST_PATH_SQL, host_path, sql_aliases, sql_normalize, sql_zone
 from loomgraph.plans.sqltext import quote, sql_case, sql_graph_terms
+from loomgraph.session import durable
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -134,7 +135,7 @@ def request_table(t, names) -> DataFrame:
 def impact_items(t) -> DataFrame:
     nodes = fk_nodes(t)
     targets = graph.find_targets(nodes, request_table(t, TARGET_NAMES))
-    return graph.impact(nodes, fk_edges(t), targets)
+    return graph.impact(nodes, durable(fk_edges(t)), targets)
 
 
 TARGETS_SQL = f"""
