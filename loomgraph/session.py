@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a temporary folder: there the driver and
     the executors are one process on one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -66,6 +66,6 @@ def durable(df: DataFrame) -> DataFrame:
     Iterative operators call this once per round; without it the plan doubles each hop.
     """
     context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
