@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, mixing, urls
+from loomgraph.llm import exact, huffman, mixing, packing, urls
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_coded_ids")
+def op1(t: Tables) -> DataFrame:
+    read = huffman.read_ids(*huffman.write_ids(t.documents, public_tokenizers.path("word_bpe_49k.json")))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query(
     "op2_exact_dedup",
     r"""
@@ -116,3 +124,9 @@ def op6(t: Tables) -> DataFrame:
 def op7(t: Tables) -> DataFrame:
     mixed = mixing.mix(t.documents)
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies as taken")
+
+
+@query("op4_packing")
+def op4(t: Tables) -> DataFrame:
+    packed = packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
