@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, packing, urls
+from loomgraph.llm import exact, huffman, mixing, packing, simhash, urls
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,11 @@ def op7(t: Tables) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies as taken")
 
 
+@query("op3_simhash")
+def op3(t: Tables) -> DataFrame:
+    return simhash.near_duplicates(t.documents).select("doc_id", "fingerprint", "component_id")
+
+
 @query("op4_packing")
 def op4(t: Tables) -> DataFrame:
     packed = packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
