@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, packing, simhash, urls
+from loomgraph.llm import exact, huffman, mixing, packing, simhash, toxicity, urls
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op3(t: Tables) -> DataFrame:
 def op4(t: Tables) -> DataFrame:
     packed = packing.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op10_toxicity")
+def op10(t: Tables) -> DataFrame:
+    return toxicity.toxicity(t.documents, t.labels).select("doc_id", "held_out", "score", "predicted")
