@@ -62,31 +62,32 @@ def located(docs: DataFrame, *columns: str) -> DataFrame:
     return stage(docs.select(*columns), "rows").select(*columns, *place)
 
 
-def marked_rows(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of a ``located`` frame named in ``marks(FILE, ROW)``, without shuffling ``rows``.
+def bitmaps(marks: DataFrame) -> DataFrame:
+    """``marks(FILE, ROW)`` as staged bitmaps of 32,768 rows each."""
+    bucket = F.expr(f"bitmap_bucket_number({ROW} + 1)").alias("__bucket")
+    bits = F.expr(f"bitmap_construct_agg(bitmap_bit_position({ROW} + 1))").alias("__bits")
+    return stage(marks.groupBy(FILE, bucket).agg(bits), "marks")
 
-    Marks become bitmaps of 32,768 rows. They are broadcast in waves of ``WAVE_BYTES``, as many
-    as their measured size asks for; each wave scans its own files.
+
+def marked_rows(rows: DataFrame, bits: DataFrame, marked: bool = True) -> DataFrame:
+    """The rows of a ``located`` frame that ``bitmaps`` name, or all others; ``rows`` are not shuffled.
+
+    Bitmaps are broadcast in waves of ``WAVE_BYTES``, as many as their measured size asks for;
+    each wave scans its own files.
     """
-    marks, _ = stage_at(
-        marks.groupBy(FILE, F.expr(f"bitmap_bucket_number({ROW} + 1)").alias("__bucket")).agg(
-            F.expr(f"bitmap_construct_agg(bitmap_bit_position({ROW} + 1))").alias("__bits")
-        ),
-        "marks",
-    )
-    waves = max(1, -(-marks.count() * BITMAP_BYTES // WAVE_BYTES))
+    waves = max(1, -(-bits.count() * BITMAP_BYTES // WAVE_BYTES))
     place = F.expr(f"bitmap_bit_position({ROW} + 1)")
     byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(bitmap_bit_position({ROW} + 1) div 8 as int) + 1, 1)")), 16, 10)
-    held = F.expr("shiftright(__byte, cast(__place % 8 as int)) & 1") == 1
+    held = F.coalesce(F.expr("shiftright(__byte, cast(__place % 8 as int)) & 1") == 1, F.lit(False))
     found = None
     for wave in range(waves):
         here = F.pmod(F.col(FILE), F.lit(waves)) == wave
         part = (
             rows.where(here)
             .withColumn("__bucket", F.expr(f"bitmap_bucket_number({ROW} + 1)"))
-            .join(F.broadcast(marks.where(here)), [FILE, "__bucket"])
+            .join(F.broadcast(bits.where(here)), [FILE, "__bucket"], "inner" if marked else "left")
             .withColumns({"__byte": byte.cast("int"), "__place": place})
-            .where(held)
+            .where(held if marked else ~held)
             .select(*rows.columns)
         )
         found = part if found is None else found.unionByName(part)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import golomb
-from loomgraph.llm.common import BLANKS, FILE, ROW, filled, located, marked_rows, stage
+from loomgraph.llm.common import BLANKS, FILE, ROW, bitmaps, filled, located, marked_rows, stage
 
 #: Fingerprints that one owner holds, and that one sender sorts at a time.
 OWNED = 1 << 21
@@ -123,7 +123,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         rows.select("doc_id", FILE, ROW, F.sha2(normalised(), 256).alias("text_sha256"), F.xxhash64(normalised()).alias("h")),
         "texts",
     )
-    asked = marked_rows(rows, suspects(marks)).select("doc_id", FILE, ROW, normalised().alias("norm"))
+    asked = marked_rows(rows, bitmaps(suspects(marks))).select("doc_id", FILE, ROW, normalised().alias("norm"))
     classes = (
         asked.groupBy(F.xxhash64("norm").alias("h"), "norm")
         .agg(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, packing, simhash, toxicity, urls
+from loomgraph.llm import exact, huffman, mixing, packing, simhash, substrings, toxicity, urls
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op2(t: Tables) -> DataFrame:
     return exact.exact_dedup(t.documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op5_substrings")
+def op5(t: Tables) -> DataFrame:
+    left = substrings.remove_repeats(t.documents)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The rules of the contract.
 URL_RULES = [
     urls.parse_rule("allow", "com/"),
