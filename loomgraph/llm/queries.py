@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, packing, simhash, substrings, toxicity, urls
+from loomgraph.llm import exact, huffman, mixing, packing, simhash, substrings, toxicity, urls, warc
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,23 @@ def op4(t: Tables) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+@query(
+    "op8_warc",
+    """
+    with payloads as (
+      select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as payload_bytes from pages),
+    kept as (
+      select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload) else page_id end as keeper from payloads)
+    select page_id, payload_bytes, sha1(payload) as payload_digest,
+      case when page_id = keeper then 'response' else 'revisit' end as record_type,
+      case when page_id <> keeper then keeper end as refers_to
+    from kept
+    """,
+)
+def op8(t: Tables) -> DataFrame:
+    return warc.read_warc(*warc.write_warc(t.pages))
+
+
 @query("op10_toxicity")
 def op10(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels).select("doc_id", "held_out", "score", "predicted")

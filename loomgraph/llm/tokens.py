@@ -20,7 +20,7 @@ BESIDE = ["  ", " \n", "\n ", " \t", "\t ", " \r", "\r "]
 RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n\t\r"]
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 
-PIECES, WORDS = 500_000, 500_000
+PIECES, WORDS = 350_000, 1_000_000
 TOGETHER = 256
 
 
