@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, packing, simhash, substrings, toxicity, urls, warc
+from loomgraph.llm import exact, huffman, mixing, neighbours, packing, simhash, substrings, toxicity, urls, warc
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,11 @@ def op8(t: Tables) -> DataFrame:
     return warc.read_warc(*warc.write_warc(t.pages))
 
 
+@query("op9_neighbours")
+def op9(t: Tables) -> DataFrame:
+    return neighbours.neighbours(t.embeddings, F.col("vec_id") % 20 == 0)
+
+
 @query("op10_toxicity")
 def op10(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels).select("doc_id", "held_out", "score", "predicted")
