@@ -61,6 +61,21 @@ def draw(seed: int) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def _planned(docs: DataFrame, seed: int, targets: dict) -> DataFrame:
+    """``docs`` with the columns of ``ADDED``, their names behind two underscores."""
+    sized = docs.withColumn("__size", F.regexp_count(filled("text"), F.lit(WORD)).cast("long"))
+    totals = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    plan = source_targets(totals, **targets)
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target")])
+    joined = sized.join(plan, sized["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    return joined.withColumn("__copies", whole + F.when(draw(seed) < rate - whole, 1).otherwise(0))
+
+
 def mix(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
     """``docs`` with size, source_size, target and copies: how often the mix takes each document.
 
@@ -68,21 +83,15 @@ def mix(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
     more if its draw falls below the fraction; so none is taken more than ``MOST`` times, its
     source's words come near the target, and reruns agree. Null and empty texts have size 0; a
     source without words has target 0 and rate 0. Null sources form one source, the last.
-    Repeated rows draw alike. Columns of ``docs`` named size, source_size, target or copies are
-    replaced. Sizes are summed on the map side; a source with a third of all rows meets its
-    one target row in a join that Spark broadcasts or splits.
+    Repeated rows draw alike; an empty table gives none. Columns of ``docs`` with the added
+    names are replaced. Sizes are summed on the map side; a source with a third of all rows
+    meets its one target row in a join that Spark broadcasts or splits.
     """
-    added = ("size", "source_size", "target", "copies")
-    sized = docs.drop(*added).withColumn("size", F.regexp_count(filled("text"), F.lit(WORD)).cast("long"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(totals, **targets).withColumnRenamed("source", "__source")
-    joined = sized.join(plan, sized["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    return joined.withColumn("copies", whole + F.when(draw(seed) < rate - whole, 1).otherwise(0))
+    planned = _planned(docs, seed, targets).drop(*ADDED)
+    return planned.withColumnsRenamed({f"__{c}": c for c in ADDED})
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return mixed.where("copies > 0").withColumn("__copy", repeats).select(*columns)
+def emit(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
+    """Every row of ``docs``, with its own columns, as often as the mix takes it."""
+    planned = _planned(docs, seed, targets).where("__copies > 0")
+    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

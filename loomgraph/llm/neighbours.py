@@ -21,7 +21,7 @@ BOUNDARY, COPIES = 1.05, 4
 #: Links of a centroid to its nearest, and to others anywhere, in the graph that is searched.
 LINKS, JUMPS = 16, 2
 #: Queries searched exhaustively to set how far lists are searched, and the share to be found.
-PROBES, RECALL = 64, 0.96
+PROBES, RECALL = 64, 0.97
 #: Vectors and queries of one list that meet in one task.
 BLOCK = 4096
 
