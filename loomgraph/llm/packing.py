@@ -17,6 +17,8 @@ from loomgraph.llm.tokens import encode_all
 SEQUENCE = 1024
 #: Pieces that one task packs together, and the share of them, in the emptiest bins, that is packed again with others.
 GROUP, AGAIN = 4096, 8
+#: Tries of the local search in a group, and bins in a row without an exchange, at which it stops.
+EXCHANGES, STUCK = 2000, 16
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary"
 
@@ -79,17 +81,22 @@ class Bins:
 
         The emptiest bin gives: a piece moves to a bin with room, or is exchanged for a smaller
         piece, or two pieces for one smaller than both, or one for two; always with a bin at least
-        as full that gains by it, so the squared fill rises and the search ends. It stops when
-        no bin fewer is possible, or when no exchange with the emptiest ones is left.
+        as full that gains by it, so the squared fill rises and the search ends. A bin that can give
+        nothing leaves the turn to the next emptiest. The search stops when no bin fewer is
+        possible, when none of the ``STUCK`` emptiest can give, or after ``EXCHANGES`` tries.
         """
         least = -(-int(self.lengths.sum()) // self.size)
         stuck: set[int] = set()
-        while int((self.fill > 0).sum()) > least:
+        for _ in range(EXCHANGES):
+            if int((self.fill > 0).sum()) <= least:
+                return
             open_ = [b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.size)).tolist() if b not in stuck]
-            if len(open_) < 2 or len(stuck) >= 16:
+            if len(open_) < 2 or len(stuck) >= STUCK:
                 return
             source = min(open_, key=lambda b: (self.fill[b], b))
-            if not self._give(source):
+            if self._give(source):
+                stuck.clear()
+            else:
                 stuck.add(source)
 
     def _give(self, source: int) -> bool:
