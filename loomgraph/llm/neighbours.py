@@ -20,6 +20,8 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 65_536, 1 << 23
 BOUNDARY, COPIES = 1.05, 4
 #: Links of a centroid to its nearest, and to others anywhere, in the graph that is searched.
 LINKS, JUMPS = 16, 2
+#: Nearest centroids seen so far that a walk goes on from.
+BEAM = 48
 #: Queries searched exhaustively to set how far lists are searched, and the share to be found.
 PROBES, RECALL = 64, 0.97
 #: Vectors and queries of one list that meet in one task.
@@ -92,7 +94,7 @@ class Lists:
         """Query and list of all lists to look in: centroids within ``spread`` of the nearest.
 
         The graph is walked from a few entries. A centroid is expanded if it is near enough by
-        what is known so far, or among the ``LINKS`` nearest seen; so the walk first descends and
+        what is known so far, or among the ``BEAM`` nearest seen; so the walk first descends and
         then floods the neighbourhood. If the lists found hold less than ``least`` copies, the
         next nearest are added.
         """
@@ -103,7 +105,7 @@ class Lists:
         rows, nodes = np.repeat(np.arange(n), len(entries)), np.tile(entries, n)
         while len(rows):
             apart[rows, nodes] = np.sqrt(((queries[rows] - self.centroids[nodes]) ** 2).sum(axis=1))
-            ranked = np.partition(apart, min(LINKS, k) - 1, axis=1)[:, min(LINKS, k) - 1]
+            ranked = np.partition(apart, min(BEAM, k) - 1, axis=1)[:, min(BEAM, k) - 1]
             bound = np.maximum(self.spread * apart.min(axis=1), ranked)
             rows, nodes = np.nonzero((apart <= bound[:, None]) & np.isfinite(apart) & ~done)
             done[rows, nodes] = True
