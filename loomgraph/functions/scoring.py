@@ -42,12 +42,11 @@ RESOLUTION_MULTIPLIERS = {
     "unresolved": 0.6,
 }
 
-# Attribute names whose value is never stored, and the longest stored text.
+# Attribute names whose value is never stored.
 SENSITIVE_KEY = (
     r"(?i)^(?:secret|password|passwd|api[_-]?key|authorization|cookie|token)$"
     r"|(?:^|[_-])(?:access|refresh|auth)[_-]?token(?:$|[_-])"
 )
-MAX_ATTRIBUTE_CHARS = 2000
 
 
 def lookup(table: dict, key: Column, default=None) -> Column:
@@ -116,12 +115,10 @@ def edge_weight(kind: Column, resolved: Column) -> Column:
 
 
 def redact(attributes: Column) -> Column:
-    """Mask sensitive keys of a string map and cut the other values."""
+    """Mask sensitive keys of a string map."""
     return F.transform_values(
         attributes,
-        lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit("[REDACTED]")).otherwise(
-            F.substring(v, 1, MAX_ATTRIBUTE_CHARS)
-        ),
+        lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit("[REDACTED]")).otherwise(v),
     )
 
 

@@ -10,8 +10,8 @@ from loomgraph.functions.text import normalize_dependency, path_aliases
 SYMBOL_CONFIDENCE = 0.85
 ALIAS_CONFIDENCE = 0.92
 SUFFIX_CONFIDENCE = 0.76
-#: Larger groups of equal names are linked through one hub node instead of pair by pair.
-DIRECT_GROUP = 32
+#: Kind of the nodes that stand for a shared name, and the start of their ids.
+HUB = "hub"
 
 
 def node_id(repo, identity):
@@ -49,34 +49,20 @@ def symbol_groups(nodes: DataFrame) -> DataFrame:
     )
 
 
-def symbol_links(groups: DataFrame, direct: int = DIRECT_GROUP) -> DataFrame:
-    """Cross-repository symbol edges at confidence 0.85.
+def symbol_links(groups: DataFrame) -> DataFrame:
+    """Edges from every shared symbol to the hub of its (kind, name), at confidence 0.85.
 
-    Groups of up to ``direct`` members are linked pair by pair (smaller repository first).
-    A larger group, say every ``get`` of every repository, is linked member to hub
-    ``shared:<kind>:<name>``: the same connectivity in linear size.
+    A hub stands for a link between each two of its members from different repositories, so
+    the edges grow with the symbols, whatever the size of a group. ``graph.impact`` and
+    ``graph.neighbourhood`` walk through hubs; ``symbol_partners`` lists pairs of chosen symbols.
     """
-    small = groups.filter(F.col("members") <= direct).select("repo", "id", "kind", "name")
-    left = small.select("kind", "name", F.col("repo").alias("left_repository"), F.col("id").alias("source"))
-    right = small.select("kind", "name", F.col("repo").alias("right_repository"), F.col("id").alias("target"))
-    pairs = left.join(right, ["kind", "name"]).filter("left_repository < right_repository")
-    hub = F.concat(F.lit("shared:"), "kind", F.lit(":"), "name")
-    hubs = groups.filter(F.col("members") > direct).select(
+    return groups.select(
         F.col("id").alias("source"),
-        hub.alias("target"),
-        F.lit("cross_repo_symbol_hub").alias("kind"),
-        F.lit(SYMBOL_CONFIDENCE).alias("confidence"),
-        F.col("repo").alias("left_repository"),
-        F.lit(None).cast("string").alias("right_repository"),
-    )
-    return pairs.select(
-        "source",
-        "target",
+        F.concat(F.lit(f"{HUB}:symbol:"), "kind", F.lit(":"), "name").alias("target"),
         F.lit("cross_repo_symbol").alias("kind"),
         F.lit(SYMBOL_CONFIDENCE).alias("confidence"),
-        "left_repository",
-        "right_repository",
-    ).unionByName(hubs)
+        F.col("repo").alias("repository"),
+    )
 
 
 def symbol_partners(groups: DataFrame, ids: DataFrame) -> DataFrame:
@@ -97,28 +83,30 @@ def _suffixes(alias):
     return F.array_distinct(F.transform(places, lambda i: alias.substr(i + 1, F.length(alias))))
 
 
-def _linked(asks: DataFrame, offers: DataFrame, confidence: float, direct: int) -> DataFrame:
-    """Equi-join of asks and offers on ``key``; crowded keys go through ``alias:<key>`` hubs."""
-    sizes = offers.groupBy("key").agg(F.count("*").alias("_n"))
-    sized = offers.join(sizes, "key")
-    pairs = asks.join(sized.filter(F.col("_n") <= direct), "key").filter("source_repo <> target_repo")
-    direct_rows = pairs.select(
-        "source", "target", F.lit("cross_repo_dependency").alias("kind"), F.lit(confidence).alias("confidence"), "dependency"
-    )
-    hub = F.concat(F.lit(f"alias:{confidence}:"), "key")
-    crowded = sizes.filter(F.col("_n") > direct).select("key")
-    into = asks.join(crowded, "key", "left_semi").select(
-        "source", hub.alias("target"), F.lit("cross_repo_dependency_hub").alias("kind"), F.lit(confidence).alias("confidence"), "dependency"
-    )
-    used = crowded.join(asks.select("key").distinct(), "key", "left_semi")
-    out = offers.join(used, "key", "left_semi").select(
-        hub.alias("source"), "target", F.lit("cross_repo_dependency_hub").alias("kind"), F.lit(confidence).alias("confidence"), F.col("key").alias("dependency")
+def _linked(asks: DataFrame, offers: DataFrame, confidence: float) -> DataFrame:
+    """Edges from asks to the hub of their key and from there to what offers it.
+
+    A row is left out if the other side has its own repository only. That is known from the
+    first and last repository of each side, so no key is expanded into pairs.
+    """
+    hub = F.concat(F.lit(f"{HUB}:path:{confidence}:"), "key")
+
+    def other_side(rows: DataFrame, repo: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.min(repo).alias("_first"), F.max(repo).alias("_last"))
+
+    def elsewhere(repo: str):
+        return (F.col("_first") != F.col(repo)) | (F.col("_last") != F.col(repo))
+
+    into = asks.join(other_side(offers, "target_repo"), "key").filter(elsewhere("source_repo"))
+    out = offers.join(other_side(asks, "source_repo"), "key").filter(elsewhere("target_repo"))
+    kind, sure = F.lit("cross_repo_dependency").alias("kind"), F.lit(confidence).alias("confidence")
+    return into.select("source", hub.alias("target"), kind, sure, "dependency", F.col("source_repo").alias("repository")).unionByName(
+        out.select(hub.alias("source"), "target", kind, sure, F.col("key").alias("dependency"), F.col("target_repo").alias("repository"))
     )
-    return direct_rows.unionByName(into).unionByName(out)
 
 
-def dependency_links(nodes: DataFrame, direct: int = DIRECT_GROUP) -> DataFrame:
-    """Unresolved names linked to files of other repositories.
+def dependency_links(nodes: DataFrame) -> DataFrame:
+    """Unresolved names linked to files of other repositories, through a hub for each alias.
 
     An alias equal to the normalised name scores 0.92. Only names no file answers that way
     are matched against alias tails (0.76). Tails are exploded so both steps are equi-joins.
@@ -134,17 +122,20 @@ def dependency_links(nodes: DataFrame, direct: int = DIRECT_GROUP) -> DataFrame:
         normalize_dependency(F.col("name")).alias("key"),
     )
     known = files.select("key").distinct()
-    exact = _linked(asks, files, ALIAS_CONFIDENCE, direct)
+    exact = _linked(asks, files, ALIAS_CONFIDENCE)
     tails = files.select("target_repo", "target", F.explode(_suffixes(F.col("key"))).alias("key")).distinct()
-    loose = _linked(asks.join(known, "key", "left_anti"), tails, SUFFIX_CONFIDENCE, direct)
+    loose = _linked(asks.join(known, "key", "left_anti"), tails, SUFFIX_CONFIDENCE)
     return exact.unionByName(loose)
 
 
-def federate(nodes: DataFrame, edges: DataFrame, direct: int = DIRECT_GROUP) -> tuple[DataFrame, DataFrame]:
-    """One graph over all repositories: namespaced ids plus cross-repository links."""
+def federate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One graph over all repositories: namespaced ids, links across them, and the hubs as nodes."""
     inside = namespaced(nodes)
     own = namespaced_edges(edges).select("source", "target", "kind")
-    links = symbol_links(symbol_groups(inside), direct).select("source", "target", "kind")
-    imports = dependency_links(inside, direct).select("source", "target", "kind")
-    everything = own.unionByName(links).unionByName(imports).filter("source <> target")
-    return inside, everything.dropDuplicates(["source", "target", "kind"])
+    links = symbol_links(symbol_groups(inside)).select("source", "target", "kind")
+    imports = dependency_links(inside).select("source", "target", "kind")
+    across = links.unionByName(imports)
+    ends = across.select(F.explode(F.array("source", "target")).alias("id")).filter(F.col("id").startswith(f"{HUB}:")).distinct()
+    hubs = ends.withColumns({"kind": F.lit(HUB), "name": F.regexp_extract("id", r"^hub:[^:]*:[^:]*:(?s:(.*))$", 1)})
+    everything = own.unionByName(across).filter("source <> target").dropDuplicates(["source", "target", "kind"])
+    return inside.unionByName(hubs, allowMissingColumns=True), everything

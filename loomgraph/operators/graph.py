@@ -13,6 +13,8 @@ from loomgraph.session import durable
 UNRESOLVED_KINDS = ("module", "reference")
 NON_SYMBOL_KINDS = ("file", "module", "reference")
 IMPACT_DEPTH = 5
+#: Nodes that stand for a link between each two of their neighbours from different repositories.
+HUB_KIND = "hub"
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -80,6 +82,37 @@ def find_targets(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return exact.unionByName(search_nodes(nodes, rest, 1).select("query_id", "query", "id"))
 
 
+def _hub_crossing(nodes: DataFrame, edges: DataFrame, hubs: DataFrame):
+    """A function from a frontier ``target, at, carried`` to the ways through hubs.
+
+    At each hub the strongest arrival and the strongest from another repository suffice, so a
+    hub with many members costs its members, not their pairs.
+    """
+    repos = nodes.select(F.col("id").alias("member"), "repo")
+    inward = edges.join(hubs.select(F.col("id").alias("target")), "target", "left_semi").select(
+        F.col("target").alias("hub"), F.col("source").alias("member"), "weight", F.col("kind").alias("via"), F.col("resolution").alias("evidence")
+    )
+    outward = edges.join(hubs.select(F.col("id").alias("source")), "source", "left_semi").select(
+        F.col("source").alias("hub"), F.col("target").alias("member")
+    )
+    # A hub without links of its own to nodes holds both ways.
+    mutual = inward.join(outward.select("hub").distinct(), "hub", "left_anti").select("hub", "member")
+    entries = durable(outward.unionByName(mutual).join(repos, "member"))
+    exits = durable(inward.join(repos, "member"))
+
+    def cross(frontier: DataFrame) -> DataFrame:
+        arrived = frontier.join(entries, frontier["at"] == entries["member"]).groupBy("target", "hub", "repo").agg(F.max("carried").alias("carried"))
+        first = F.max(F.struct("carried", "repo")).alias("first")
+        best = arrived.groupBy("target", "hub").agg(first)
+        again = arrived.join(best, ["target", "hub"]).filter("repo <> first.repo").groupBy("target", "hub").agg(F.max("carried").alias("second"))
+        at_hub = best.join(again, ["target", "hub"], "left")
+        carried = F.when(F.col("repo") != F.col("first.repo"), F.col("first.carried")).otherwise(F.col("second"))
+        ways = at_hub.join(exits, "hub").withColumn("strength", carried * F.col("weight")).filter("strength is not null")
+        return ways.select("target", F.col("member").alias("node"), "strength", "via", "evidence")
+
+    return cross
+
+
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = IMPACT_DEPTH) -> DataFrame:
     """Nodes reached from each target over reverse edges, with depth and risk.
 
@@ -89,6 +122,10 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
     a breadth-first relaxation by risk. ``evidence`` is the label of the last hop. Ties go to
     the smaller (via, evidence).
 
+    A hub (federation) is walked through in one hop, from a node to the other nodes linked to
+    it in another repository; it is no result itself. A link from a node to its hub holds both
+    ways, one from a hub to a node leads back to the nodes that link to the hub.
+
     Pass ``edges`` as a stored table: every hop reads it once and joins the improved frontier
     on ``target``. A small frontier is broadcast by its measured size, a large one is
     shuffled, and AQE splits a hot target's edges.
@@ -100,7 +137,9 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
         F.col("kind").alias("via"),
         F.col("resolution").alias("evidence"),
     )
-    known_nodes = nodes.select(F.col("id").alias("node"))
+    hubs = nodes.filter(F.col("kind") == HUB_KIND).select("id")
+    crossing = _hub_crossing(nodes, weighted(edges), hubs) if not hubs.isEmpty() else None
+    known_nodes = nodes.filter(F.col("kind") != HUB_KIND).select(F.col("id").alias("node"))
     key = ["target", "node"]
     best_way = F.min_by(
         F.struct("strength", "via", "evidence"), F.struct(-F.col("strength"), "via", "evidence")
@@ -110,10 +149,11 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
     ).distinct()
     seen = None
     for depth in range(1, max_depth + 1):
+        ways = frontier.join(steps, "at").select("target", "node", (F.col("carried") * F.col("weight")).alias("strength"), "via", "evidence")
+        if crossing is not None:
+            ways = ways.unionByName(crossing(frontier))
         reached = (
-            frontier.join(steps, "at")
-            .filter("node <> target")
-            .select("target", "node", (F.col("carried") * F.col("weight")).alias("strength"), "via", "evidence")
+            ways.filter("node <> target")
             .groupBy(*key)
             .agg(best_way)
             .join(known_nodes, "node", "left_semi")
@@ -125,17 +165,21 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: in
             )
         )
         if seen is not None:
-            known = seen.select(*key, F.col("risk").alias("_known"))
+            known = seen.groupBy(*key).agg(F.max("risk").alias("_known"))
             reached = reached.join(known, key, "left").filter(
                 F.col("_known").isNull() | (F.col("risk") > F.col("_known"))
             ).drop("_known")
         level = durable(reached)
         if level.isEmpty():
             break
-        seen = level if seen is None else durable(seen.join(level, key, "left_anti").unionByName(level))
+        # A visit that is improved on stays below its better one; the best of each is taken at the end.
+        seen = level if seen is None else seen.unionByName(level)
         frontier = level.select("target", F.col("node").alias("at"), F.col("strength").alias("carried"))
     if seen is None:
         seen = reached.limit(0)
+    # Risks of one node rise from level to level, so the last visit is the best.
+    last = F.max_by(F.struct("depth", "via", "risk", "evidence"), "depth").alias("b")
+    seen = seen.groupBy(*key).agg(last).select(*key, "b.*")
     info = nodes.select(F.col("id").alias("node"), "kind", "name", "path")
     return seen.join(info, "node").select(
         "target", "node", "kind", "name", "path", "depth", "via", F.least("risk", F.lit(1.0)).alias("risk"), "evidence",
@@ -189,32 +233,44 @@ def subgraph(nodes: DataFrame, edges: DataFrame, query: str, *, references: bool
 def neighbourhood(
     nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 1, relation: str = "", limit: int = 400
 ) -> tuple[DataFrame, DataFrame]:
-    """Undirected expansion around seeds: at most four hops, nodes nearest first up to ``limit``.
+    """Undirected expansion around seeds, ``depth`` hops, nodes nearest first up to ``limit``.
 
     Only the new frontier is joined at each hop, and the hop stops once ``limit`` nodes are
-    known, so the result bound also bounds the work. Ties inside a hop go to the smaller id.
+    known, so the result bound also bounds the work. Ends that are no nodes don't count. A hub
+    is walked through in one hop to its other members in other repositories, and is not
+    listed. Ties inside a hop go to the smaller id.
     """
-    limit = min(1000, max(1, limit))
     eligible = edges.filter(F.col("kind") == relation) if relation else edges
     both = eligible.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(
         eligible.select(F.col("target").alias("id"), F.col("source").alias("other"))
     )
-    known = durable(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    real = nodes.filter(F.col("kind") != HUB_KIND)
+    hubs = nodes.filter(F.col("kind") == HUB_KIND).select(F.col("id").alias("other"))
+    through = None
+    if not hubs.isEmpty():
+        member = both.join(hubs, "other", "left_semi").select("id", F.col("other").alias("hub"))
+        through = durable(member.join(real.select("id", "repo"), "id"))
+    known = durable(real.join(seeds.select("id").distinct(), "id", "left_semi").select("id", F.lit(0).alias("hop")))
     frontier = known
-    for hop in range(1, min(4, max(0, depth)) + 1):
+    for hop in range(1, max(0, depth) + 1):
         if known.count() >= limit:
             break
-        reached = (
-            both.join(frontier.select("id"), "id", "left_semi")
-            .select(F.col("other").alias("id"))
-            .distinct()
+        reached = both.join(frontier.select("id"), "id", "left_semi").select(F.col("other").alias("id"))
+        if through is not None:
+            # Two repositories at a hub reach all members, one all but its own.
+            met = through.join(frontier.select("id"), "id", "left_semi").groupBy("hub").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
+            reached = reached.unionByName(through.join(met, "hub").filter("repo <> a or repo <> b").select("id"))
+        frontier = durable(
+            reached.distinct()
             .join(known.select("id"), "id", "left_anti")
+            .join(real.select("id"), "id", "left_semi")
             .orderBy("id")
             .limit(limit)
             .withColumn("hop", F.lit(hop))
         )
-        frontier = durable(reached)
-        known = durable(known.unionByName(frontier))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
     kept = durable(
         nodes.join(known, "id").orderBy("hop", "id").limit(limit)
     )
@@ -224,16 +280,17 @@ def neighbourhood(
         .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
         .select(*edges.columns)
         .orderBy("source", "target", "kind")
-        .limit(limit * 4)
+        .limit(min(limit * 4, (1 << 31) - 1))
     )
     return kept, inside
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     """One path with the fewest hops (undirected); ties take the smaller parent id.
 
-    Rows are ``position, id``. Each hop keeps one parent per newly reached node. The back
-    trace reads one row per hop.
+    Rows are ``position, id``; none if there is no path, or none within ``max_hops`` where that
+    is given. Each hop keeps one parent per newly reached node. The back trace reads one row
+    per hop.
     """
     spark = edges.sparkSession
     both = edges.select(F.col("source").alias("at"), F.col("target").alias("id")).unionByName(
@@ -243,9 +300,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8)
     frontier = seen = durable(first)
     levels: list[DataFrame] = []
     found = source == target
-    for _ in range(max_hops):
-        if found:
-            break
+    while not found and (max_hops is None or len(levels) < max_hops):
         level = durable(
             both.join(frontier.select(F.col("id").alias("at")), "at")
             .join(seen.select("id"), "id", "left_anti")

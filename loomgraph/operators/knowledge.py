@@ -45,7 +45,6 @@ ENTRY_NAMES = (
     "main.py", "app.py", "manage.py", "index.js", "index.ts", "server.js", "server.ts", "main.go",
     "main.rs", "Program.cs", "Main.java",
 )
-SEARCHABLE_BYTES = 512_000
 
 
 def project_knowledge(files: DataFrame, hot_files: DataFrame | None = None) -> DataFrame:
@@ -70,7 +69,7 @@ def project_knowledge(files: DataFrame, hot_files: DataFrame | None = None) -> D
     parts = F.slice(path_parts(F.col("path")), F.lit(1), F.greatest(F.size(path_parts(F.col("path"))) - 1, F.lit(0)))
     layers = F.filter(F.transform(parts, lambda p: lookup(LAYER_FOLDERS, F.lower(p))), lambda x: x.isNotNull())
     low_name = F.lower(name)
-    text = F.when(F.col("size") <= SEARCHABLE_BYTES, F.lower("content"))
+    text = F.lower("content")
 
     def revealed(markers):
         hit = F.lit(False)

@@ -17,7 +17,6 @@ from loomgraph.functions.text import FEATURE_TOKEN, hybrid_terms
 #: Query vectors shipped to tasks at once; more are matched block by block.
 INLINE_QUERIES = 1024
 MAX_RELATIONS = 20
-SNIPPET_CHARS = 3000
 
 
 def feature_hash(dimensions: int = 384):
@@ -228,7 +227,3 @@ def semantic_documents(nodes: DataFrame, edges: DataFrame, snippets: DataFrame)
         "kind",
         F.coalesce("line", F.lit(0)).alias("line"),
     )
-
-
-def file_snippet(content: Column) -> Column:
-    return F.substring(content, 1, SNIPPET_CHARS)

@@ -16,11 +16,9 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.text import suffix
 
-MAX_RESULTS = 500
-MAX_FILES = 50
-MAX_BYTES = 1024 * 1024
+#: Files from which a rewrite counts as broad.
+BROAD_FILES = 50
 DIFF_CONTEXT = 3
-DIFF_CHARS = 20_000
 
 _CAPTURE = re.compile(r"\$([A-Z_][A-Z0-9_]*)")
 _HOLE = "__hole_"
@@ -110,12 +108,12 @@ def structural_search(
     rewrite: str | None = None,
     include: tuple[str, ...] = (),
     exclude: tuple[str, ...] = (),
-    limit: int | None = MAX_RESULTS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Expressions shaped like ``pattern``, where ``$NAME`` stands for any expression.
 
-    Scope globs and a required-word test run before any file reaches Python. ``limit=None``
-    keeps every match.
+    Scope globs and a required-word test run before any file reaches Python. Every match is
+    kept unless a ``limit`` is given.
     """
     shape = ast.parse(_CAPTURE.sub(lambda m: _HOLE + m.group(1), pattern), mode="eval").body
     fixed = [w for w in re.findall(r"\w+", _CAPTURE.sub(" ", pattern)) if w.isidentifier()]
@@ -155,7 +153,7 @@ def _apply(path: pd.Series, content: pd.Series, edits: pd.Series) -> pd.DataFram
         diff = difflib.unified_diff(
             text.splitlines(keepends=True), updated.splitlines(keepends=True), f"a/{name}", f"b/{name}", n=DIFF_CONTEXT
         )
-        rows.append((updated, "".join(diff)[:DIFF_CHARS], hashlib.sha256(original).hexdigest(), skipped))
+        rows.append((updated, "".join(diff), hashlib.sha256(original).hexdigest(), skipped))
     return pd.DataFrame(rows, columns=["updated", "diff", "sha256", "skipped"])
 
 
@@ -163,21 +161,21 @@ def rewrite_plan(
     matches: DataFrame,
     files: DataFrame,
     *,
-    max_files: int = MAX_FILES,
-    max_matches: int = MAX_RESULTS,
-    max_bytes: int = MAX_BYTES,
+    max_files: int | None = None,
+    max_matches: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """New content, diff and hash per file; rejected as a whole when a limit is passed.
+    """New content, diff and hash per file; rejected as a whole where a given limit is passed.
 
-    The limits are the feature, checked by one aggregate before texts are read. Edits of a
-    file are applied from its end, so earlier offsets stay valid.
+    Limits are checked by aggregates. Edits of a file are applied from its end, so earlier
+    offsets stay valid.
     """
     totals = matches.agg(
         F.count("*").alias("matches"), F.count_distinct("repo", "path").alias("files")
     ).first()
     if totals["matches"] == 0:
         raise RewriteRejected("pattern matched nothing")
-    if totals["files"] > max_files or totals["matches"] > max_matches:
+    if any(most is not None and totals[c] > most for c, most in (("files", max_files), ("matches", max_matches))):
         raise RewriteRejected(f"rewrite spans {totals['files']} files and {totals['matches']} matches")
     edits = matches.filter("replacement is not null").groupBy("repo", "path").agg(
         F.collect_list(F.struct("byte_start", "byte_end", "replacement")).alias("edits"), F.count("*").alias("matches")
@@ -198,15 +196,15 @@ def rewrite_plan(
         F.col("p.updated").alias("content"),
         F.col("p.skipped").alias("skipped"),
     )
-    size = plan.agg(F.coalesce(F.sum("changed_bytes"), F.lit(0))).first()[0]
-    if size > max_bytes:
+    size = plan.agg(F.coalesce(F.sum("changed_bytes"), F.lit(0))).first()[0] if max_bytes is not None else 0
+    if max_bytes is not None and size > max_bytes:
         raise RewriteRejected(f"rewrite would change {size} bytes")
     return plan
 
 
-def rewrite_risk(plan: DataFrame, impacts: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+def rewrite_risk(plan: DataFrame, impacts: DataFrame, broad: int = BROAD_FILES) -> DataFrame:
     """``0.6`` strongest impact of the rewritten files' symbols plus ``0.4`` breadth."""
-    breadth = F.least(F.lit(1.0), F.count("*") / max(1, max_files))
+    breadth = F.least(F.lit(1.0), F.count("*") / max(1, broad))
     deepest = F.coalesce(impacts.agg(F.max("risk_score")).scalar(), F.lit(0.0))
     return plan.agg(breadth.alias("breadth")).select(
         F.round(F.least(F.lit(1.0), 0.6 * deepest + 0.4 * F.col("breadth")), 4).alias("risk_score")

@@ -256,7 +256,7 @@ def document_slice(t) -> DataFrame:
     """,
 )
 def symbol_slice(t) -> DataFrame:
-    files = python_files(t).filter("path not like '%x'")
+    files = python_files(t)
     units = extract.units(files)
     requests = units.filter("kind <> 'class'").select(
         F.concat_ws(":", "path", "name").alias("request_id"), "repo", "path", F.col("name").alias("symbol"), (F.col("line") + 3).alias("line")
@@ -291,7 +291,7 @@ STRUCTURAL_SQL = f"""
 
 @query("structural_search", STRUCTURAL_SQL)
 def structural_search(t) -> DataFrame:
-    found = structural.structural_search(python_files(t), "log($X, $Y)", rewrite="audit($Y, $X)", limit=None)
+    found = structural.structural_search(python_files(t), "log($X, $Y)", rewrite="audit($Y, $X)")
     return found.select(
         "repo", "path", "start_line", "start_column", "matched_text", F.col("captures")["X"].alias("x"), F.col("captures")["Y"].alias("y"), "replacement"
     )
@@ -303,8 +303,8 @@ def structural_search(t) -> DataFrame:
 )
 def rewrite_plan(t) -> DataFrame:
     files = python_files(t)
-    found = structural.structural_search(files, "log($X, $Y)", rewrite="audit($Y, $X)", limit=None)
-    plan = structural.rewrite_plan(found, files, max_files=1 << 40, max_matches=1 << 40, max_bytes=1 << 50)
+    found = structural.structural_search(files, "log($X, $Y)", rewrite="audit($Y, $X)")
+    plan = structural.rewrite_plan(found, files)
     changed = F.contains("diff", F.lit("+    audit(a, ")) & ~F.contains("content", F.lit("log('"))
     return plan.select("repo", "path", "matches", F.col("changed_bytes").cast("long").alias("changed_bytes"), changed.alias("rewritten"))
 

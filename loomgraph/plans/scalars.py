@@ -478,7 +478,7 @@ def scoped_symbol(t) -> DataFrame:
     "redact",
     """
     select event_id, case when event_type in ('view', 'purchase') then '[REDACTED]' else json_extract_string(props, '$.k') end as secret_or_k,
-      repeat(event_type, 500)[1:2000] as long_text
+      repeat(event_type, 500) as long_text
     from events
     """,
 )

@@ -33,12 +33,12 @@ def document_files(t) -> DataFrame:
     """
     with f as (select lang as repo, case doc_id % 10 when 0 then 'node_modules/' when 1 then 'a/.git/' when 2 then 'src/build2/' else 'src/' end
       || source || '/' || doc_id || '.txt' as path, n_chars as size from documents)
-    select repo, path, size from f where size <= 20000 and len(list_filter(string_split(path, '/'),
+    select repo, path, size from f where len(list_filter(string_split(path, '/'),
       lambda p: p in ('.git','.venv','venv','node_modules','dist','build','__pycache__'))) = 0
     """,
 )
 def files_scan(t) -> DataFrame:
-    return files.scan_files(document_files(t), 20000)
+    return files.scan_files(document_files(t))
 
 
 @query(
@@ -355,7 +355,7 @@ def snapshot_upsert(t) -> DataFrame:
     "snapshot_export",
     """
     select cast(event_id as varchar) as snapshot_id, event_type as suite, value as latency, epoch_us(ts) as recorded_at
-    from (select * from events order by ts desc, event_id desc limit 5000) where event_type <> 'signup'
+    from events where event_type <> 'signup'
     """,
 )
 def snapshot_export(t) -> DataFrame:
@@ -369,7 +369,7 @@ def snapshot_export(t) -> DataFrame:
     )
     ordered = rows.withColumn("_id", F.lpad("snapshot_id", 20, "0"))
     newest = stores.snapshot_lines(
-        ordered.withColumn("snapshot_id", F.col("_id")).drop("_id"), 5000
+        ordered.withColumn("snapshot_id", F.col("_id")).drop("_id")
     )
     back = stores.parse_snapshot_lines(newest)
     return back.select(
@@ -424,17 +424,21 @@ def vector_rows(t) -> DataFrame:
 @query(
     "vector_store",
     """
-    with v as (select cast(label as varchar) as namespace, cast(vec_id % 25 as varchar) as key, vec_id as seq from embeddings where vec_id % 10 > 1),
-    l as (select namespace, key, max(seq) as seq from v group by all)
+    with v as (select cast(label as varchar) as namespace, cast(vec_id % 25 as varchar) as key, case when vec_id % 2 = 1 then vec_id else -vec_id end as seq from embeddings where vec_id % 10 > 1),
+    l as (select namespace, key, coalesce(max(seq) filter (seq > 0), -min(-seq)) as seq from v group by all)
     select namespace, count(*) as vectors, cast(sum(seq) as bigint) as seqs from l where key <> '7' group by 1
     """,
 )
 def vector_store(t) -> DataFrame:
-    """Later half upserted over the earlier one, one key deleted, vectors counted."""
+    """Odd rows upserted over the even ones, one key deleted, vectors counted.
+
+    The even rows, negated, were all written before, whatever their number.
+    """
     rows = vector_rows(t)
-    half = F.col("seq") % 2 == 0
-    stored = stores.upsert_vectors(rows.filter(half), rows.filter(~half).filter("false"))
-    newer = stores.upsert_vectors(stored.select(*rows.columns).filter("false"), rows)
+    odd = F.col("seq") % 2 == 1
+    before = rows.filter(~odd).withColumn("seq", -F.col("seq"))
+    stored = stores.upsert_vectors(before.filter("false"), before).select(*rows.columns)
+    newer = stores.upsert_vectors(stored, rows.filter(odd))
     gone = newer.filter("key = '7'").select("namespace", "key")
     left = stores.delete_vectors(newer, gone)
     return stores.count_vectors(left).join(

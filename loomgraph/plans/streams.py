@@ -121,7 +121,7 @@ class StreamWithStatic(StreamTables):
 @query(
     "alert_scan",
     """
-    with j as (select o_orderstatus from orders order by o_orderdate desc, o_orderkey desc limit 500), f as (select count(*) as n from j where o_orderstatus = 'F'),
+    with j as (select o_orderstatus from orders), f as (select count(*) as n from j where o_orderstatus = 'F'),
     u as (select count(*) as n from supplier where s_acctbal < 0)
     select 'job.failure' as kind, 'critical' as severity, n || ' failed job(s) need attention.' as detail, n as count from f where n > 0
     union all select 'backend.unhealthy', 'warning', n || ' active backend(s) are unhealthy.', n from u where n > 0

@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 from loomgraph.functions.text import base_name, strip
 from loomgraph.session import durable
 
-MAX_MANIFEST_BYTES = 8 * 1024 * 1024
-MAX_SCAN_DEPTH = 4
-
 # Folders never searched for manifests. A tool's own state folder is passed in.
 SKIPPED_DIRECTORIES = (
     ".git",
@@ -170,10 +167,12 @@ def _pairs(text: Column, pattern: str, make) -> Column:
     return F.zip_with(first, second, make)
 
 
-def _first_of_name(records: Column) -> Column:
-    """First record of each name, for the formats that list a name only once."""
-    names = F.transform(records, lambda r: r["name"])
-    return F.filter(records, lambda r, i: F.array_position(names, r["name"]) == i + 1)
+def _first_of_name(listed: DataFrame, columns: list[str]) -> DataFrame:
+    """Manifests with the first record of each name only, for formats that list a name once."""
+    each = listed.select(*columns, F.posexplode_outer("_all").alias("_pos", "_r"))
+    first = each.groupBy(*columns, F.col("_r.name").alias("_name")).agg(F.min_by(F.struct("_pos", "_r"), "_pos").alias("_f"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_f._pos").isNotNull(), F.col("_f"))))
+    return first.groupBy(*columns).agg(F.transform(kept, lambda x: x["_r"]).alias("records"))
 
 
 PACKAGES = "map<string,struct<version:string>>"
@@ -386,7 +385,7 @@ def manifest_files(files: DataFrame, extra_skipped: tuple[str, ...] = ()) -> Dat
         )
     )
     return (
-        files.filter((F.size(folders) <= MAX_SCAN_DEPTH) & ~F.arrays_overlap(folders, skipped))
+        files.filter(~F.arrays_overlap(folders, skipped))
         .withColumn("_kind", kind)
         .filter("_kind is not null")
         .select("repo", "path", "content", "_kind.ecosystem", "_kind.form")
@@ -397,15 +396,14 @@ def parse_manifests(files: DataFrame, extra_skipped: tuple[str, ...] = ()) -> Da
     """One row per manifest: records array plus the error that stopped it, if any."""
     # Manifests are a sliver of a corpus: kept once, so the corpus is scanned a single time.
     rows = durable(manifest_files(files, extra_skipped))
-    text = F.when(F.octet_length("content") <= MAX_MANIFEST_BYTES, F.col("content"))
-    rows = rows.withColumn("_text", text)
+    rows = rows.withColumn("_text", F.col("content"))
     needs_help = F.col("form").isin(*TOML_FORMATS, *XML_FORMATS)
     # The Arrow UDF sees TOML and XML only: other rows pass null through it.
     rows = durable(rows.withColumn("_doc", restate(F.when(needs_help, F.col("_text")), "form")))
     json_form = F.col("form").isin("package_json", "npm_lock", "pipfile_lock", "nuget_lock")
     bad_json = json_form & F.try_parse_json("_text").isNull()
     error = (
-        F.when(F.col("_text").isNull(), "unreadable or oversized manifest")
+        F.when(F.col("_text").isNull(), "unreadable manifest")
         .when(F.col("_doc.error").isNotNull(), F.col("_doc.error"))
         .when(bad_json, "malformed manifest: not JSON")
     )
@@ -423,9 +421,12 @@ def parse_manifests(files: DataFrame, extra_skipped: tuple[str, ...] = ()) -> Da
         F.col("form"), F.col("_text"), F.col("_json"), F.col("path"), F.col("_lines"), F.col("_packages"), F.col("_xml")
     )
     listed = staged.filter("error is null").withColumn("_all", records)
-    once = F.when(F.col("form").isin("go_sum", "gradle"), _first_of_name(F.col("_all"))).otherwise(F.col("_all"))
     columns = ["repo", "path", "ecosystem", "form"]
-    good = listed.select(*columns, once.alias("records"), F.lit(None).cast("string").alias("error"))
+    single = F.col("form").isin("go_sum", "gradle")
+    good = listed.filter(~single).select(*columns, F.col("_all").alias("records")).unionByName(
+        _first_of_name(listed.filter(single), columns)
+    )
+    good = good.withColumn("error", F.lit(None).cast("string"))
     bad = staged.filter("error is not null").select(*columns, _none().alias("records"), "error")
     return good.unionByName(bad)
 

@@ -57,9 +57,9 @@ def upsert_snapshots(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_lines(snapshots: DataFrame, limit: int = 5000) -> DataFrame:
-    """Newest snapshots as JSON lines carrying the schema number (``metrics`` is a map)."""
-    newest = snapshots.orderBy(F.desc("recorded_at"), F.desc("snapshot_id")).limit(limit)
+def snapshot_lines(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
+    """Snapshots, or the newest ``limit``, as JSON lines with the schema number (``metrics`` is a map)."""
+    newest = snapshots if limit is None else snapshots.orderBy(F.desc("recorded_at"), F.desc("snapshot_id")).limit(limit)
     return newest.select(F.to_json(F.struct(F.lit(1).alias("schema"), F.struct("*").alias("snapshot"))).alias("value"))
 
 

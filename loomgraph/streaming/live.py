@@ -66,9 +66,9 @@ def audit_stream(requests: DataFrame, members: DataFrame, policies: DataFrame) -
     return audit_rows(decide(requests, members, policies))
 
 
-def alert_scan(jobs: DataFrame, backends: DataFrame, newest: int = 500) -> DataFrame:
-    """Notifications for failed jobs among the newest ones and for unhealthy backends."""
-    recent = jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(newest)
+def alert_scan(jobs: DataFrame, backends: DataFrame, since: object = None) -> DataFrame:
+    """Notifications for failed jobs, all or those created from ``since`` on, and for unhealthy backends."""
+    recent = jobs if since is None else jobs.filter(F.col("created_at") >= F.lit(since))
     failed = recent.filter("status = 'failed'").agg(F.count("*").alias("n"))
     sick = backends.filter("not healthy").agg(F.count("*").alias("n"))
 

@@ -107,31 +107,68 @@ def test_drift_reports_new_direction(spark):
     assert "new-dependency-direction" in {f.kind for f in found}
 
 
-def test_federation_links(spark, rows):
+def federation_sample(spark):
     data = [
         ("api", "s1", "function", "refresh_token", "api/auth.py", 1),
         ("worker", "s2", "function", "Refresh_Token", "worker/jobs.py", 1),
+        ("worker", "s3", "function", "refresh_token", "worker/more.py", 1),
         ("app", "m1", "module", "shared.util", None, None),
         ("shared", "f1", "file", "util.py", "shared/util.py", None),
+        ("shared", "m2", "module", "shared.util", None, None),
     ]
     n = spark.createDataFrame(data, NODE)
     own = spark.createDataFrame([("api", "f", "s1", "contains")], "repo string, source string, target string, kind string")
-    all_nodes, all_edges = federation.federate(n, own)
-    assert all(r.id.startswith("repo:") for r in all_nodes.collect())
-    got = rows(all_edges)
-    assert ("repo:api:s1", "repo:worker:s2", "cross_repo_symbol") in got
-    assert ("repo:app:m1", "repo:shared:f1", "cross_repo_dependency") in got
+    return federation.federate(n, own)
+
+
+def test_federation_links(spark, rows):
+    all_nodes, all_edges = federation_sample(spark)
+    got, ids = rows(all_edges), {r.id for r in all_nodes.collect()}
+    name, path = "hub:symbol:function:refresh_token", "hub:path:0.92:shared/util"
+    assert {name, path} < ids and all(i.startswith(("repo:", "hub:")) for i in ids)
+    assert ("repo:api:s1", name, "cross_repo_symbol") in got and ("repo:worker:s2", name, "cross_repo_symbol") in got
+    assert ("repo:app:m1", path, "cross_repo_dependency") in got and (path, "repo:shared:f1", "cross_repo_dependency") in got
+    # A repository asks nothing of itself.
+    assert not any(source == "repo:shared:m2" for source, *_ in got)
     assert ("repo:api:f", "repo:api:s1", "contains") in got
 
 
-def test_crowded_names_use_a_hub(spark):
-    data = [(f"r{i}", f"s{i}", "function", "get", "x.py", 1) for i in range(6)]
-    groups = federation.symbol_groups(federation.namespaced(spark.createDataFrame(data, NODE)))
-    assert federation.symbol_links(groups, direct=10).count() == 15
-    hubs = federation.symbol_links(groups, direct=3).collect()
-    assert {h.target for h in hubs} == {"shared:function:get"} and len(hubs) == 6
+def test_impact_and_neighbourhood_walk_through_hubs(spark):
+    nodes, edges = federation_sample(spark)
+    ask = lambda i: spark.createDataFrame([(i,)], "id string")
+
+    def reached(i, depth=1):
+        return {(r.node, r.depth) for r in graph.impact(nodes, edges, ask(i), depth).collect()}
+
+    assert reached("repo:api:s1") == {("repo:worker:s2", 1), ("repo:worker:s3", 1)}
+    assert reached("repo:worker:s2") == {("repo:api:s1", 1)}
+    assert reached("repo:worker:s2", 2) == {("repo:api:s1", 1), ("repo:worker:s3", 2)}
+    assert reached("repo:shared:f1") == {("repo:app:m1", 1)} and reached("repo:app:m1") == set()
+    near = lambda i, d: {r.id for r in graph.neighbourhood(nodes, edges, ask(i), d)[0].collect()}
+    assert near("repo:worker:s2", 1) == {"repo:worker:s2", "repo:api:s1"}
+    assert near("repo:shared:f1", 1) == {"repo:shared:f1", "repo:app:m1"}
+
+
+@pytest.mark.parametrize("repositories", [2, 40])
+def test_groups_of_any_size_link_alike(spark, repositories):
+    data = [(f"r{i}", f"s{i}", "function", "get", "x.py", 1) for i in range(repositories)]
+    frame = spark.createDataFrame(data, NODE)
+    groups = federation.symbol_groups(federation.namespaced(frame))
+    links = federation.symbol_links(groups).collect()
+    assert {h.target for h in links} == {"hub:symbol:function:get"} and len(links) == repositories
     ids = spark.createDataFrame([("repo:r0:s0",)], "id string")
-    assert federation.symbol_partners(groups, ids).count() == 5
+    assert federation.symbol_partners(groups, ids).count() == repositories - 1
+    none = spark.createDataFrame([], "repo string, source string, target string, kind string")
+    nodes, edges = federation.federate(frame, none)
+    assert graph.impact(nodes, edges, ids).count() == repositories - 1
+    assert graph.neighbourhood(nodes, edges, ids, 1)[0].count() == repositories
+
+
+def test_path_longer_than_eight_hops_and_no_path(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "source string, target string")
+    assert graph.shortest_path(edges, "n0", "n11").count() == 12
+    assert graph.shortest_path(edges, "n0", "x").count() == 0
+    assert graph.shortest_path(edges, "n0", "n11", 8).count() == 0
 
 
 @pytest.mark.parametrize("wide", [1, 3, 64])

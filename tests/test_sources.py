@@ -101,10 +101,11 @@ def test_manifests(spark):
     df = spark.createDataFrame([("m", p, t) for p, t in MANIFESTS.items()], "repo string, path string, content string")
     parsed = manifests.parse_manifests(df)
     reports = {r.path: r for r in manifests.manifest_reports(parsed).collect()}
-    assert set(MANIFESTS) - set(reports) == {"a/b/c/d/e/go.mod", "node_modules/p/package.json"}
+    assert set(MANIFESTS) - set(reports) == {"node_modules/p/package.json"}
     assert {p for p, r in reports.items() if not r.parsed} == {"bad/pyproject.toml", "evil/pom.xml"}
     got = {(r.manifest, r.name, r.declared, r.resolved, r.scope) for r in manifests.dependency_records(parsed).collect()}
     assert got == {
+        ("a/b/c/d/e/go.mod", "x.com/y", "v1", None, "runtime"),
         ("pyproject.toml", "requests", ">=2", None, "runtime"), ("pyproject.toml", "rich", None, None, "runtime"),
         ("pyproject.toml", "pytest", "==8", None, "development"), ("pyproject.toml", "mkdocs", None, None, "optional"),
         ("pyproject.toml", "flask", "^3.0", None, "runtime"), ("poetry.lock", "requests", None, "2.31.0", "runtime"),
