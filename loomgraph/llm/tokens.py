@@ -15,9 +15,9 @@ SPACES = {"word_bpe_49k.json": "dropped", "byte_bpe_50k.json": "leading"}
 
 #: A word of Latin letters and the punctuation after it, which both vocabularies cut apart.
 SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
-#: A space beside other white space does not lead a word; rarer white space is looked for by itself.
-BESIDE = ["  ", " \n", "\n ", " \t", "\t ", " \r", "\r "]
-RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n\t\r"]
+#: White space beside a space or a line end is one token with it; rarer white space is looked for by itself.
+BESIDE = ["  ", " \n", "\n ", "\n\n"]
+RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 
 PIECES, WORDS = 350_000, 1_000_000
@@ -56,43 +56,66 @@ class Encoder:
         return [b"".join(map(found, pieces)) for pieces in cut]
 
     def _cut(self, text: str) -> list[str]:
+        """Pieces between which no token reaches over."""
         if self.spaces == "dropped":
-            return text.split(" ")
-        if text.endswith(" ") or any(x in text for x in BESIDE) or any(x in text for x in RARE):
+            try:
+                # Letters of this code become lower case one by one, as the tokenizer does it.
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            return text.replace("\n", " ").split(" ")
+        if text[:1] == "\n" or text[-1:] in {" ", "\n"} or any(x in text for x in BESIDE) or any(x in text for x in RARE):
             return ALONE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        simple, other, words = [], [], set()
-        led = self.spaces == "leading"
-        for piece in pieces:
-            m = SIMPLE.fullmatch(piece)
-            if m and (not led or piece[0] == " "):
-                word = m[1] if led else m[1].strip().lower()
-                simple.append((piece, word, m[2]))
-                words.add(word)
-                if m[2]:
-                    other.append(m[2])
+        pieces: list[str] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            pieces.append(first)
+            pieces.extend([" " + x for x in rest])
+            pieces.append("\n")
+        pieces.pop()
+        return pieces
+
+    def _learn(self, missing: Iterable[str]) -> None:
+        pieces, words, match = self.pieces, self.words, SIMPLE.fullmatch
+        later: list[str] = []
+        other: dict[str, None] = {}
+        fresh: dict[str, None] = {}
+        for piece in missing:
+            m = match(piece)
+            if not m:
+                other[piece] = None
+                continue
+            word, marks = m.groups()
+            if marks and marks not in pieces:
+                other[marks] = None
+                later.append(piece)
+            elif word in words:
+                pieces[piece] = words[word] + (pieces[marks] if marks else b"")
             else:
-                other.append(piece)
-        self._learn_words([w for w in words if w not in self.words])
-        other = [x for x in dict.fromkeys(other) if x not in self.pieces]
-        encoded = self.tokenizer.encode_batch(other, add_special_tokens=False)
-        self.pieces.update((x, _packed(e.ids)) for x, e in zip(other, encoded, strict=True))
-        for piece, word, marks in simple:
-            self.pieces[piece] = self.words[word] + (self.pieces[marks] if marks else b"")
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Many words in one call; the ids are cut at the changes of the word number."""
-        glue = "" if self.spaces == "leading" else " "
+                later.append(piece)
+            if word not in words:
+                fresh[word] = None
+        self._learn_words([w for w in fresh if w[0] == " "], "", 1)
+        # Words without a space before them: one for each line, or for dropped spaces.
+        self._learn_words([w for w in fresh if w[0] != " "], *(("\n", 2) if self.spaces == "leading" else (" ", 1)))
+        alone = [x for x in other if x not in pieces]
+        encoded = self.tokenizer.encode_batch(alone, add_special_tokens=False)
+        pieces.update((x, _packed(e.ids)) for x, e in zip(alone, encoded, strict=True))
+        for piece in later:
+            word, marks = match(piece).groups()
+            pieces[piece] = words[word] + (pieces[marks] if marks else b"")
+
+    def _learn_words(self, words: list[str], glue: str, step: int) -> None:
+        """Many words in one call; the ids are cut where every ``step``-th word of the tokenizer begins."""
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, found in zip(groups, self.tokenizer.encode_batch([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            starts = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1))
-            if len(starts) == len(group):
+            number = np.array(found.word_ids)
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            if len(starts) == step * len(group) - step + 1:
                 data, at = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-                self.words.update((w, data[at[i] : at[i + 1]]) for i, w in enumerate(group))
+                self.words.update((w, data[at[step * i] : at[step * i + 1]]) for i, w in enumerate(group))
             else:
                 alone = self.tokenizer.encode_batch(group, add_special_tokens=False)
                 self.words.update((w, _packed(e.ids)) for w, e in zip(group, alone, strict=True))
