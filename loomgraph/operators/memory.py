@@ -246,7 +246,3 @@ def memory_sync(mutations: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataF
     return state.join(clock, KEY, "left").select(
         *KEY, "w.value", "w.node_id", "w.updated_at", "w.tombstone", "clock", "applied", "ignored", "conflicts"
     )
-
-
-def sync_totals(state: DataFrame) -> DataFrame:
-    return state.agg(*[F.sum(c).alias(c) for c in ("applied", "ignored", "conflicts")])

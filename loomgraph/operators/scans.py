@@ -7,7 +7,7 @@ bounded size, works inside segments, then combines the small per-segment results
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -306,17 +306,3 @@ def greedy_keep(nodes: DataFrame, conflicts: DataFrame, identity: str = "id") ->
     for part in dropped_parts:
         kept = kept.join(part.withColumnRenamed("later", identity), identity, "left_anti")
     return kept
-
-
-def frontier_loop(
-    seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], depth: int
-) -> DataFrame:
-    """Union of a seed level and up to ``depth - 1`` further levels, stopping when one is empty."""
-    level = durable(seed)
-    result = level
-    for hop in range(2, depth + 1):
-        if level.isEmpty():
-            break
-        level = durable(step(level, hop))
-        result = result.unionByName(level)
-    return result

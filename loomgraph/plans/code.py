@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import build, extract, knowledge, listing, precise, slicing, structural
-from loomgraph.plans.events import K_SQL, k_value
 from loomgraph.plans.registry import query
-from loomgraph.plans.scalars import HOST_PATH_SQL, host_path
 from loomgraph.plans.sqltext import SQL_BLANK, sql_any
 
 
@@ -309,6 +307,20 @@ def rewrite_plan(t) -> DataFrame:
     return plan.select("repo", "path", "matches", F.col("changed_bytes").cast("long").alias("changed_bytes"), changed.alias("rewritten"))
 
 
+@query(
+    "rewrite_risk",
+    f"""
+    with {PY_SQL}, d as (select max(round(abs(value) / 1000, 6)) as deepest from events), b as (select least(1.0, count(*) / 50.0) as breadth from p)
+    select round(least(1.0, 0.6 * deepest + 0.4 * breadth), 4) as risk_score from d, b
+    """,
+)
+def rewrite_risk(t) -> DataFrame:
+    """The rewrite of every module, with event values as the impacts of its symbols."""
+    files = python_files(t)
+    plan = structural.rewrite_plan(structural.structural_search(files, "log($X, $Y)", rewrite="audit($Y, $X)"), files)
+    return structural.rewrite_risk(plan, t.events.select(F.round(F.abs("value") / 1000, 6).alias("risk_score")))
+
+
 @query(
     "project_knowledge",
     f"""

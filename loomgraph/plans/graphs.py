@@ -118,9 +118,17 @@ def hot_nodes(t) -> DataFrame:
     return graph.hot_nodes(fk_edges(t), 12)
 
 
-@query("graph_fingerprint")
+@query(
+    "graph_fingerprint",
+    f"""
+    with n as (select count(*) as nodes, sum(cast('0x' || md5(id)[1:15] as bigint)) as node_sum from ({NODES_SQL})),
+    e as (select count(*) as edges, sum(cast('0x' || md5(source || chr(0) || kind || chr(0) || target)[1:15] as bigint)) as edge_sum from ({EDGES_SQL}))
+    select nodes, cast(node_sum as varchar) as node_sum, edges, cast(edge_sum as varchar) as edge_sum from n, e
+    """,
+)
 def graph_fingerprint(t) -> DataFrame:
-    return graph.graph_fingerprint(fk_nodes(t), fk_edges(t))
+    digest = graph.graph_fingerprint(fk_nodes(t), fk_edges(t))
+    return digest.withColumns({c: F.col(c).cast("string") for c in ("node_sum", "edge_sum")})
 
 
 # -- impact ------------------------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scoring import lookup
 from loomgraph.operators import dependencies, evidence, listing, memory, quota
 from loomgraph.plans.events import k_value, micros
 from loomgraph.plans.registry import query
@@ -14,8 +13,6 @@ from loomgraph.sources import diffs, files, gitlog, jsonl, manifests, stores
 
 # -- sources -----------------------------------------------------------------------------
 
-FOLDERS = {0: "node_modules/", 1: "a/.git/", 2: "src/build/"}
-
 
 def document_files(t) -> DataFrame:
     folder = F.when(F.col("doc_id") % 10 == 0, "node_modules/").when(
@@ -74,6 +71,92 @@ def span_log(t) -> DataFrame:
     )
 
 
+@query(
+    "telemetry_log",
+    """
+    select event_id, event_type as name, round(value * 10, 3) as timestamp, json_extract_string(props, '$.k') as k from events where event_id % 11 <> 0
+    """,
+)
+def telemetry_log(t) -> DataFrame:
+    """Events written as telemetry lines, some of them broken off."""
+    line = F.to_json(
+        F.struct(
+            F.col("event_type").alias("name"),
+            F.round(F.col("value") * 10, 3).alias("timestamp"),
+            F.create_map(F.lit("k"), k_value().cast("string")).alias("attributes"),
+        )
+    )
+    broken = F.when(F.col("event_id") % 11 == 0, F.substring(line, 1, 20)).otherwise(line)
+    parsed = jsonl.parse_telemetry(t.events.select("event_id", broken.alias("value")))
+    return parsed.select("event_id", "name", "timestamp", F.col("attributes")["k"].alias("k"))
+
+
+@query(
+    "request_log",
+    """
+    select 'r' || event_id as request_id, 't' || user_id as trace_id, case event_id % 2 when 0 then 'GET' else 'POST' end as method,
+      '/v1/' || event_type as path, cast(200 + event_id % 300 as integer) as status, value as duration_ms from events where event_id % 7 <> 0
+    """,
+)
+def request_log(t) -> DataFrame:
+    """Events written as request lines, some of them not JSON."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.to_json(
+        F.struct(
+            text("ts").alias("timestamp"),
+            F.concat(F.lit("r"), text("event_id")).alias("request_id"),
+            F.concat(F.lit("t"), text("user_id")).alias("trace_id"),
+            F.when(F.col("event_id") % 2 == 0, "GET").otherwise("POST").alias("method"),
+            F.concat(F.lit("/v1/"), "event_type").alias("path"),
+            (F.col("event_id") % 300 + 200).cast("int").alias("status"),
+            F.col("value").alias("duration_ms"),
+        )
+    )
+    lines = t.events.select(F.when(F.col("event_id") % 7 == 0, "not a line").otherwise(line).alias("value"))
+    return jsonl.parse_requests(lines).select("request_id", "trace_id", "method", "path", "status", "duration_ms")
+
+
+@query(
+    "blame_lines",
+    """
+    select o_orderkey as file, cast(l_linenumber as integer) as line, lpad(cast(l_partkey as varchar), 8, '0') as sha, 'dev' || (l_suppkey % 30) as author,
+      'dev' || (l_suppkey % 30) || '@x.org' as email, l_orderkey * 100 + l_linenumber as timestamp, 'x = ' || l_partkey as content
+    from lineitem join orders on l_orderkey = o_orderkey
+    """,
+)
+def blame_lines(t) -> DataFrame:
+    """Orders as files whose lines are their items, in porcelain blame form."""
+    text = lambda c: F.col(c).cast("string")
+    dev = F.concat(F.lit("dev"), (F.col("l_suppkey") % 30).cast("string"))
+    number = text("l_linenumber")
+    entry = F.concat(
+        F.lpad(text("l_partkey"), 8, "0"), F.lit(" "), number, F.lit(" "), number, F.lit(" 1\nauthor "), dev,
+        F.lit("\nauthor-mail <"), dev, F.lit("@x.org>\nauthor-time "), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("string"),
+        F.lit("\nsummary s\n\tx = "), text("l_partkey"), F.lit("\n"),
+    )
+    records = t.lineitem.groupBy(F.col("l_orderkey").alias("file")).agg(
+        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("e")))), lambda x: x["e"])).alias("value")
+    )
+    return gitlog.parse_blame(records)
+
+
+@query(
+    "history_lines",
+    """
+    select cast(o_orderkey as varchar) as sha, 'dev' || (o_custkey % 50) as author, 'd' || o_custkey as email, strftime(o_orderdate, '%Y-%m-%d') as date,
+      'fix | ' || o_orderpriority as subject from orders where o_orderkey % 6 <> 0
+    """,
+)
+def history_lines(t) -> DataFrame:
+    """Line-log records with separators in the subject; every sixth one lacks fields."""
+    text = lambda c: F.col(c).cast("string")
+    full = F.concat_ws(
+        "|", text("o_orderkey"), F.concat(F.lit("dev"), (F.col("o_custkey") % 50).cast("string")), F.concat(F.lit("d"), text("o_custkey")),
+        F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("fix | "), "o_orderpriority"),
+    )
+    return gitlog.parse_history_lines(t.orders.select(F.when(F.col("o_orderkey") % 6 == 0, "broken|line").otherwise(full).alias("value")))
+
+
 @query(
     "commit_log",
     """

@@ -58,8 +58,3 @@ def parse_requests(lines: DataFrame) -> DataFrame:
 def span_line():
     """A span row as its JSON line, for writing logs back."""
     return F.to_json(F.struct(F.lit(SPAN_VERSION).alias("version"), F.struct("*").alias("span")))
-
-
-def last_lines(rows: DataFrame, order: str, limit: int) -> DataFrame:
-    """Newest rows of a log by its own clock (bounded top-k)."""
-    return rows.orderBy(F.desc(order)).limit(max(1, limit))

@@ -145,8 +145,3 @@ class SemanticRefresh:
         )
         kept = old.join(changed.select("id"), "id", "left_anti")
         self.table.write(kept.unionByName(fresh), number)
-
-
-def remove_documents(index: DataFrame, current_ids: DataFrame) -> DataFrame:
-    """Index rows whose document still exists."""
-    return index.join(current_ids.select("id"), "id", "left_semi")
