@@ -25,9 +25,9 @@ LENGTH = 100
 #: Length of the strings that minimizers name; a string of LENGTH is named by two of twice that.
 GRAM = 32
 #: Bytes named at once, and bytes whose minimizers one task holds together.
-SEGMENT, HELD = 1 << 19, 1 << 25
+SEGMENT, HELD = 1 << 18, 12 << 20
 #: Contexts of one minimizer that are settled in one task; above it each string is a row.
-CROWD = 20_000
+CROWD = 5000
 
 ODD = 0x9E3779B97F4A7C15
 MIX = 0xBF58476D1CE4E5B9
@@ -165,18 +165,16 @@ def _rank(length: int):
         rows: list[tuple] = []
         texts: list[bytes] = []
         held = 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                own = [(x.as_py() or "").encode() for x in part.column("text")]
-                ids = part.column("doc_id")
-                places = [part.column(c).to_numpy(zero_copy_only=False) for c in (FILE, ROW)]
-                rows.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), *places))
-                texts.extend(own)
-                held += sum(map(len, own))
-                if held >= HELD:
-                    yield settle(rows, texts)
-                    rows, texts, held = [], [], 0
+        for part in _slices(batches, 256):
+            own = [(x.as_py() or "").encode() for x in part.column("text")]
+            ids = part.column("doc_id")
+            places = [part.column(c).to_numpy(zero_copy_only=False) for c in (FILE, ROW)]
+            rows.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), *places))
+            texts.extend(own)
+            held += sum(map(len, own))
+            if held >= HELD:
+                yield settle(rows, texts)
+                rows, texts, held = [], [], 0
         if rows:
             yield settle(rows, texts)
 
@@ -205,17 +203,17 @@ def _contexts(length: int):
     """The bytes of each context that is not settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        heads = [c.split()[0] for c in CONTEXTS.split(", ")]
+        for batch in _slices(batches, 64):
+            rows: list[tuple] = []
             for x in batch.to_pylist():
                 text = (x["text"] or "").encode()
-                rows = [
-                    (p["name"], p["m"], x["doc_id"], x[FILE], x[ROW], p["start"], text[p["start"] : p["start"] + p["more"] + length])
-                    for p in x["places"]
-                ]
-                columns = zip(*rows, strict=True)
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                heads = [c.split()[0] for c in CONTEXTS.split(", ")]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], heads)
+                for p in x["places"]:
+                    data = text[p["start"] : p["start"] + p["more"] + length]
+                    rows.append((p["name"], p["m"], x["doc_id"], x[FILE], x[ROW], p["start"], data))
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], heads)
 
     return run
 
@@ -275,7 +273,7 @@ def _strings(length: int):
     """A row for every string of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 512):
             if batch.num_rows:
                 of, inside, name = _string_names(batch.column("data").to_pylist(), length)
                 rows = batch.take(pa.array(of))
@@ -328,8 +326,14 @@ def repeats(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
     return done.unionByName(near).unionByName(many)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches, 64):
         rows = []
         for x in batch.to_pylist():
             data, kept, reach, spans = (x["text"] or "").encode(), [], 0, 0
