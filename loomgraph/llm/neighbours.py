@@ -26,6 +26,8 @@ BEAM = 48
 PROBES, RECALL = 64, 0.97
 #: Vectors and queries of one list that meet in one task.
 BLOCK = 4096
+#: Nearest lists of a query that are searched first; what others find must beat their ``k``-th.
+FIRST = 4
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -138,16 +140,18 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int):
+def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int, least: np.ndarray | float = -np.inf):
     """Query, vector and score of the ``k`` largest products of each query, ties to the smaller id.
 
+    Products below ``least`` are left out, up to rounding.
+
     A matrix product picks the candidates, with all that rounding could tie; their scores are then
     summed number by number in one order, so equal vectors have equal scores.
     """
     rough = queries @ vectors.T
     rough[ids[:, None] == vec_ids[None]] = -np.inf
     n = min(k, rough.shape[1])
-    cut = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+    cut = np.maximum(-np.partition(-rough, n - 1, axis=1)[:, n - 1], least)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
     q, v = np.nonzero((rough >= (cut - slack)[:, None]) & np.isfinite(rough))
     score = np.zeros(len(q))
@@ -263,12 +267,20 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 20, recall: float =
                 part = batch.slice(i, 512)
                 own = told.value.raised(_matrix(part.column("embedding")))
                 row, found = told.value.search(own, COPIES * (k + 1))
+                apart = ((own[row] - told.value.centroids[found]) ** 2).sum(axis=1)
+                order = np.lexsort((found, apart, row))
+                row, found = row[order], found[order]
                 at = pa.array(row)
                 yield pa.record_batch(
-                    {"list": pa.array(found, pa.int32()), "query_id": part.column("vec_id").take(at), "embedding": part.column("embedding").take(at)}
+                    {
+                        "list": pa.array(found, pa.int32()),
+                        "query_id": part.column("vec_id").take(at),
+                        "embedding": part.column("embedding").take(at),
+                        "first": pa.array(np.arange(len(row)) - np.searchsorted(row, row) < FIRST),
+                    }
                 )
 
-    asked = vectors.where("asks").select("vec_id", "embedding").mapInArrow(ask, "list int, query_id long, embedding array<float>")
+    asked = vectors.where("asks").select("vec_id", "embedding").mapInArrow(ask, "list int, query_id long, embedding array<float>, first boolean")
     asked = stage(asked, "asked")
     queried = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks = [(i, -(-sizes.get(i, 0) // BLOCK), -(-queried[i] // BLOCK)) for i in sorted(queried) if sizes.get(i)]
@@ -283,12 +295,23 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 20, recall: float =
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, vec_ids = queries.column("query_id").to_numpy(), postings.column("vec_id").to_numpy()
         own, x = _matrix(queries.column("embedding")), _matrix(postings.column("embedding"))
-        parts = [(_best(own[i : i + 512], ids[i : i + 512], x, vec_ids, k), i) for i in range(0, len(own), 512)]
+        least = queries.column("least").to_numpy()
+        parts = [(_best(own[i : i + 512], ids[i : i + 512], x, vec_ids, k, least[i : i + 512]), i) for i in range(0, len(own), 512)]
         q = np.concatenate([p[0] + i for p, i in parts])
         v, score = (np.concatenate([p[j] for p, _ in parts]) for j in (1, 2))
         return pa.table({"query_id": ids[q], "vec_id": vec_ids[v], "score": score})
 
     keys = ["list", "vb", "qb"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def met(asking: DataFrame) -> DataFrame:
+        """The best of each query in each list, once where copies of a vector were met."""
+        pairs = asking.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    nothing = F.lit(float("-inf"))
+    first = stage(_top(met(left.where("first").withColumn("least", nothing)), k), "nearest")
+    # A query's other lists have to beat the last of its first ``k``; without ``k``, nothing.
+    least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    others = left.where("not first").join(least, "query_id", "left").withColumn("least", F.coalesce("least", nothing))
+    found = met(others).unionByName(first.drop("rank")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
