@@ -5,31 +5,39 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterable
-from itertools import chain
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: How a vocabulary treats the space between two words: dropped, or the start of the second word.
 SPACES = {"word_bpe_49k.json": "dropped", "byte_bpe_50k.json": "leading"}
 
-#: A word of Latin letters and the punctuation after it, which both vocabularies cut apart.
-SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
+#: A word of Latin letters, and one with the punctuation after it, which both vocabularies cut apart.
+WORD = " ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+SIMPLE = f"^(?P<word>{WORD})(?P<marks>[!-/:-@\\[-^`{{-~]*)\\z"
 #: White space beside a space or a line end is one token with it; rarer white space is looked for by itself.
 BESIDE = ["  ", " \n", "\n ", "\n\n"]
 RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 
-PIECES, WORDS = 350_000, 1_000_000
+#: Stands between pieces of a text; a text that holds it is encoded whole.
+MARK = "\0"
+
+#: Words that a worker remembers, and words encoded in one call.
+WORDS = 500_000
 TOGETHER = 256
 
 
 class Encoder:
     """Texts to ids, exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Texts are cut only where no token can cross: at single spaces. Each distinct piece is
-    encoded once per worker; the caches are emptied when full, so memory is bounded.
-    Unknown vocabularies are encoded text by text.
+    Texts are cut only where no token can cross: at single spaces and line ends, and between a
+    word of Latin letters and the punctuation after it. Arrow cuts and numbers the parts, so
+    Python meets each distinct one once a call, and the tokenizer each once per worker. The
+    cache is emptied when full, so memory is bounded. Unknown vocabularies are encoded text
+    by text.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,26 +45,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = SPACES.get(re.split(r"[/\\]", path)[-1])
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         if self.spaces is None:
             return [_packed(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        cut = [self._cut(text) for text in texts]
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        mark = " " if self.spaces == "dropped" else MARK
+        cut = pc.split_pattern(pa.array([self._marked(t) for t in texts], pa.large_string()), mark)
+        pieces = cut.flatten().dictionary_encode()
+        simple = pc.extract_regex(pieces.dictionary, SIMPLE)
+        first = pc.coalesce(pc.struct_field(simple, "word"), pieces.dictionary).dictionary_encode()
+        second = pc.coalesce(pc.struct_field(simple, "marks"), pa.scalar("", pa.large_string())).dictionary_encode()
+        parts = first.dictionary.to_pylist() + second.dictionary.to_pylist()
         if len(self.words) > WORDS:
             self.words.clear()
-        missing = set(chain.from_iterable(cut)).difference(self.pieces)
-        if missing:
-            self._learn(missing)
-        found = self.pieces.__getitem__
-        return [b"".join(map(found, pieces)) for pieces in cut]
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces between which no token reaches over."""
+        self._learn(list(dict.fromkeys(x for x in parts if x not in self.words)))
+        held = [self.words[x] for x in parts]
+        ids = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        number = pieces.indices.to_numpy()
+        order = np.empty(2 * len(number), np.int64)
+        order[::2] = first.indices.to_numpy()[number]
+        order[1::2] = second.indices.to_numpy()[number] + len(first.dictionary)
+        own = sizes[order]
+        ends = np.cumsum(own)
+        # Each part's ids lie together; shift a running count to where they begin.
+        begin = (np.cumsum(sizes) - sizes)[order] - (ends - own)
+        every = ids[np.repeat(begin, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.append(0, ends)[2 * cut.offsets.to_numpy()].tolist()
+        plain = zip(texts, bounds, bounds[1:], strict=False)
+        return [self._whole(t) if MARK in t and mark == MARK else every[i:j].tobytes() for t, i, j in plain]
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _marked(self, text: str) -> str:
+        """The text with a mark between pieces that no token reaches over."""
         if self.spaces == "dropped":
             try:
                 # Letters of this code become lower case one by one, as the tokenizer does it.
@@ -64,47 +89,21 @@ class Encoder:
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-            return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ")
+        if MARK in text:
+            return ""
         if text[:1] == "\n" or text[-1:] in {" ", "\n"} or any(x in text for x in BESIDE) or any(x in text for x in RARE):
-            return ALONE.split(text)
-        pieces: list[str] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            pieces.append(first)
-            pieces.extend([" " + x for x in rest])
-            pieces.append("\n")
-        pieces.pop()
-        return pieces
-
-    def _learn(self, missing: Iterable[str]) -> None:
-        pieces, words, match = self.pieces, self.words, SIMPLE.fullmatch
-        later: list[str] = []
-        other: dict[str, None] = {}
-        fresh: dict[str, None] = {}
-        for piece in missing:
-            m = match(piece)
-            if not m:
-                other[piece] = None
-                continue
-            word, marks = m.groups()
-            if marks and marks not in pieces:
-                other[marks] = None
-                later.append(piece)
-            elif word in words:
-                pieces[piece] = words[word] + (pieces[marks] if marks else b"")
-            else:
-                later.append(piece)
-            if word not in words:
-                fresh[word] = None
-        self._learn_words([w for w in fresh if w[0] == " "], "", 1)
+            return MARK.join(ALONE.split(text))
+        return text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK)
+
+    def _learn(self, missing: list[str]) -> None:
+        words = [x for x in missing if re.fullmatch(WORD, x)]
+        self._learn_words([w for w in words if w[0] == " "], "", 1)
         # Words without a space before them: one for each line, or for dropped spaces.
-        self._learn_words([w for w in fresh if w[0] != " "], *(("\n", 2) if self.spaces == "leading" else (" ", 1)))
-        alone = [x for x in other if x not in pieces]
+        self._learn_words([w for w in words if w[0] != " "], *(("\n", 2) if self.spaces == "leading" else (" ", 1)))
+        alone = [x for x in missing if x not in self.words]
         encoded = self.tokenizer.encode_batch(alone, add_special_tokens=False)
-        pieces.update((x, _packed(e.ids)) for x, e in zip(alone, encoded, strict=True))
-        for piece in later:
-            word, marks = match(piece).groups()
-            pieces[piece] = words[word] + (pieces[marks] if marks else b"")
+        self.words.update((x, _packed(e.ids)) for x, e in zip(alone, encoded, strict=True))
 
     def _learn_words(self, words: list[str], glue: str, step: int) -> None:
         """Many words in one call; the ids are cut where every ``step``-th word of the tokenizer begins."""
@@ -136,7 +135,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def encode_all(path: str, texts: list[str | None], end_id: int, chars: int = 1 << 20) -> Iterable[bytes]:
+def encode_all(path: str, texts: list[str | None], end_id: int, chars: int = 1 << 21) -> Iterable[bytes]:
     """Ids of every text, null as empty, with the end id; encoded ``chars`` at a time."""
     own, end, start, held = encoder(path), _packed([end_id]), 0, 0
     for i, text in enumerate(texts):

@@ -40,7 +40,7 @@ def word_terms(word: str) -> list[int]:
 def text_terms(text: str | None, known: dict[str, list[int]]) -> np.ndarray:
     """Distinct buckets of a whole text. ``known`` remembers words; it is emptied when large."""
     out: set[int] = set()
-    if len(known) > 300_000:
+    if len(known) > 100_000:
         known.clear()
     for word in set(LETTERS.findall((text or "").lower())):
         terms = known.get(word)
