@@ -8,6 +8,7 @@ bounded size, works inside segments, then combines the small per-segment results
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -302,7 +303,7 @@ def greedy_keep(nodes: DataFrame, conflicts: DataFrame, identity: str = "id") ->
                 dropped.withColumnRenamed("later", "earlier"), "earlier", "left_anti"
             )
         )
-    kept = nodes
-    for part in dropped_parts:
-        kept = kept.join(part.withColumnRenamed("later", identity), identity, "left_anti")
-    return kept
+    if not dropped_parts:
+        return nodes
+    dropped = reduce(DataFrame.unionByName, dropped_parts).withColumnRenamed("later", identity)
+    return nodes.join(dropped, identity, "left_anti")
