@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stage
+from loomgraph.llm.common import slices, stage
 from loomgraph.llm.files import write_file
-from loomgraph.llm.tokens import encode_all, encoder
+from loomgraph.llm.tokens import ROWS, encode_all, encoder
 from loomgraph.session import shared_path
 
 #: Longest code in bits: above the 16 that any 65,536 ids need, and the decoding table stays small.
@@ -204,7 +204,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         narrow = max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = list(encode_all(vocabulary, batch.column("text").to_pylist(), end_id))
             crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
             if narrow:

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stage
-from loomgraph.llm.tokens import encode_all
+from loomgraph.llm.common import slices, stage
+from loomgraph.llm.tokens import ROWS, encode_all
 
 SEQUENCE = 1024
 #: Pieces that one task packs together, and the share of them, in the emptiest bins, that is packed again with others.
@@ -33,7 +33,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -
     """Pieces with their ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             rows: list[tuple] = []
             encoded = encode_all(vocabulary, batch.column("text").to_pylist(), end_id)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import FILE, ROW, bitmaps, filled, located, marked_rows, stage
+from loomgraph.llm.common import FILE, ROW, bitmaps, filled, located, marked_rows, slices, stage
 
 LENGTH = 100
 #: Length of the strings that minimizers name; a string of LENGTH is named by two of twice that.
@@ -165,7 +165,7 @@ def _rank(length: int):
         rows: list[tuple] = []
         texts: list[bytes] = []
         held = 0
-        for part in _slices(batches, 256):
+        for part in slices(batches, 256):
             own = [(x.as_py() or "").encode() for x in part.column("text")]
             ids = part.column("doc_id")
             places = [part.column(c).to_numpy(zero_copy_only=False) for c in (FILE, ROW)]
@@ -205,7 +205,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 6 + [pa.binary()]
         heads = [c.split()[0] for c in CONTEXTS.split(", ")]
-        for batch in _slices(batches, 64):
+        for batch in slices(batches, 64):
             rows: list[tuple] = []
             for x in batch.to_pylist():
                 text = (x["text"] or "").encode()
@@ -273,7 +273,7 @@ def _strings(length: int):
     """A row for every string of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 512):
+        for batch in slices(batches, 512):
             if batch.num_rows:
                 of, inside, name = _string_names(batch.column("data").to_pylist(), length)
                 rows = batch.take(pa.array(of))
@@ -326,14 +326,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
     return done.unionByName(near).unionByName(many)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches, 64):
+    for batch in slices(batches, 64):
         rows = []
         for x in batch.to_pylist():
             data, kept, reach, spans = (x["text"] or "").encode(), [], 0, 0

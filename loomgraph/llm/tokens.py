@@ -26,8 +26,10 @@ ALONE = re.compile(r"(?<=\S)(?= \S)")
 MARK = "\0"
 
 #: Words that a worker remembers, and words encoded in one call.
-WORDS = 500_000
+WORDS = 300_000
 TOGETHER = 256
+#: Rows whose ids are held at a time.
+ROWS = 512
 
 
 class Encoder:
