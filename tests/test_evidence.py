@@ -66,7 +66,7 @@ def test_trace_summary_and_redaction(spark):
     )
     clean = df.withColumn("attributes", scoring.redact(F.col("attributes")))
     row = clean.first()
-    assert row.attributes["api_key"] == "[REDACTED]" and len(row.attributes["note"]) == 2000
+    assert row.attributes["api_key"] == "[REDACTED]" and len(row.attributes["note"]) == 3000
     summary = ops.trace_summary(clean).first()
     assert (summary.tool_calls, summary.context_tokens) == (1, 120)
 
