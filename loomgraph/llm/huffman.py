@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import slices, stage
+from loomgraph.llm.common import hand_back, slices, stage
 from loomgraph.llm.files import write_file
 from loomgraph.llm.tokens import ROWS, encode_all, encoder
 from loomgraph.session import shared_path
@@ -210,6 +210,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             if narrow:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "ids_crc32": crc})
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, ids_crc32 long")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import slices, stage
+from loomgraph.llm.common import hand_back, slices, stage
 from loomgraph.llm.tokens import ROWS, encode_all
 
 SEQUENCE = 1024
@@ -46,6 +46,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

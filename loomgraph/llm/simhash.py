@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import FILE, ROW, located, stage
+from loomgraph.llm.common import FILE, ROW, hand_back, located, stage
 from loomgraph.llm.components import components
 
 DISTANCE = 3
@@ -54,6 +54,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).view(np.int64)
             yield pa.record_batch({c: batch.column(c) for c in ("doc_id", FILE, ROW)} | {"fp": pa.array(fps)})
+        hand_back()
 
     return rows.select(F.col("doc_id").cast("long"), FILE, ROW, "text").mapInArrow(run, f"doc_id long, {FILE} long, {ROW} long, fp long")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stage
+from loomgraph.llm.common import hand_back, stage
 
 #: Terms are hashed to this many buckets; RANK numbers a bucket stand for its pairs.
 BUCKETS, RANK = 1 << 18, 6
@@ -195,6 +195,8 @@ def scorer(docs: DataFrame, machine: Machine):
         for texts in parts:
             scores = [shared.value.scores([text_terms(t, known) for t in texts[i : i + 512]]) for i in range(0, len(texts), 512)]
             yield pd.Series(np.concatenate([*scores, np.zeros(0)]))
+        known.clear()
+        hand_back()
 
     return score
 
