@@ -23,19 +23,23 @@ BLOCKS = 6
 CROWD = 2048
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's word shingles, repeats included; one for fewer words, none without words."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.array([], np.uint64)
     n = max(1, len(parts) - words + 1)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = (ends - np.fromiter(map(len, parts), np.int64, len(parts)) - 1)[:n].tolist()
     stops = (ends[min(words, len(parts)) - 1 :] - 1)[:n].tolist()
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    return _majority(h)
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles; 0 without words."""
+    return _majority(shingle_hashes(text, words))
 
 
 def _majority(h: np.ndarray, step: int = 1 << 14) -> int:

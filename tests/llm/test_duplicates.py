@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, simhash, substrings
+import corpus_pipeline
+from loomgraph.llm import exact, jaccard, simhash, substrings
 from loomgraph.llm.common import FILE, ROW, bitmaps, located, marked_rows
 from loomgraph.llm.components import components
 
@@ -160,3 +161,59 @@ def test_other_lengths(spark, length):
     found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
     got = [(key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found]
     assert sorted(got) == sorted(brute_repeats(rows, length))
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_near_copies(rows):
+    """The smallest doc_id that each row reaches over similarities of 0.8."""
+    sets = [five_words(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return {d: min((e for (e, _), h in zip(rows, group, strict=True) if h == g), key=key) for (d, _), g in zip(rows, group, strict=True)}
+
+
+def edited(seed=11):
+    """Texts with zero to many changed words, one large group of them, a line that most share, and odd texts."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(4))
+    line = " ".join(word() for _ in range(12))
+    texts = []
+    for size, copies in [(100, 40), *[(draw.randint(4, 150), 4)] * 5, *[(draw.randint(4, 400), 3) for _ in range(20)]]:
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(draw.randint(0, size // 25)):
+                text[draw.randrange(size)] = word()
+            texts.append(" ".join(text[: size - draw.randint(0, size // 10)] + draw.choice([[], [line]])))
+    texts += [None, "", " ", "Two words", "two  WORDS", line, line + " " + word(), line.upper()]
+    draw.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("wider, common, sample", [(jaccard.WIDER, jaccard.COMMON, jaccard.SAMPLE), (2, 5, 20)])
+def test_near_copies_equal_all_pairs(spark, tmp_path, monkeypatch, wider, common, sample):
+    for name, value in (("WIDER", wider), ("COMMON", common), ("SAMPLE", sample)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = edited()
+    want = brute_near_copies(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs).collect()} == want
+    # The stage keeps the first of each group, and finds more than fingerprints three bits apart.
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(want.values())
+    assert len(kept) < simhash.near_duplicates(docs).where("kept").count()
+    assert jaccard.near_copies(docs.where("false")).collect() == []
+
+
+def test_near_copies_of_repeated_rows(docs, rows):
+    found = jaccard.near_copies(docs).collect()
+    want = brute_near_copies([(i, t) for i, (_, t, _) in enumerate(rows)])
+    assert len(found) == len(rows) and sum(r["kept"] for r in found) == len(set(want.values()))
