@@ -235,15 +235,36 @@ def subgraph(nodes: DataFrame, edges: DataFrame, query: str, *, references: bool
     return nodes.join(connected, "id", "left_semi"), touched
 
 
+def _hub_sides(edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``id, hub, side`` of the members of hubs. All members of a hub without links of its own are on both sides."""
+    asks = edges.select(F.col("source").alias("id"), F.col("target").alias("hub")).join(hubs, "hub", "left_semi")
+    offers = edges.select(F.col("target").alias("id"), F.col("source").alias("hub")).join(hubs, "hub", "left_semi")
+    mutual = asks.join(offers.select("hub").distinct(), "hub", "left_anti")
+    there = offers.unionByName(mutual).withColumn("side", F.lit("offer"))
+    return asks.withColumn("side", F.lit("ask")).unionByName(there).select("id", "hub", "side").distinct()
+
+
+def _across(members: DataFrame, met: DataFrame) -> DataFrame:
+    """The ``members(id, hub, side, repo)`` that face one of ``met`` from another repository, without pairs."""
+    other = F.when(F.col("side") == "ask", "offer").otherwise("ask").alias("side")
+    facing = met.groupBy("hub", other).agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
+    # Two repositories on the other side face all members, one all but its own.
+    return members.join(facing, ["hub", "side"]).filter("repo <> a or repo <> b").select(*members.columns)
+
+
 def neighbourhood(
     nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 1, relation: str = "", limit: int = 400
 ) -> tuple[DataFrame, DataFrame]:
     """Undirected expansion around seeds, ``depth`` hops, nodes nearest first up to ``limit``.
 
     Only the new frontier is joined at each hop, and the hop stops once ``limit`` nodes are
-    known, so the result bound also bounds the work. Ends that are no nodes don't count. A hub
-    is walked through in one hop to its other members in other repositories, and is not
-    listed. Ties inside a hop go to the smaller id.
+    known, so the result bound also bounds the work. Ends that are no nodes don't count. Ties
+    inside a hop go to the smaller id.
+
+    A hub is walked through in one hop, to other repositories only, and is not listed. Where it
+    has links of its own, that is from the nodes that link to it to those it links to, and back;
+    else between all that link to it. Edges to or from a hub are returned where they are part of
+    such a way between two nodes kept.
     """
     eligible = edges.filter(F.col("kind") == relation) if relation else edges
     both = eligible.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(
@@ -253,8 +274,8 @@ def neighbourhood(
     hubs = nodes.filter(F.col("kind") == HUB_KIND).select(F.col("id").alias("other"))
     through = None
     if not hubs.isEmpty():
-        member = both.join(hubs, "other", "left_semi").select("id", F.col("other").alias("hub"))
-        through = durable(member.join(real.select("id", "repo"), "id"))
+        sides = _hub_sides(eligible, hubs.select(F.col("other").alias("hub")))
+        through = durable(sides.join(real.select("id", "repo"), "id"))
     known = durable(real.join(seeds.select("id").distinct(), "id", "left_semi").select("id", F.lit(0).alias("hop")))
     frontier = known
     for hop in range(1, max(0, depth) + 1):
@@ -262,9 +283,7 @@ def neighbourhood(
             break
         reached = both.join(frontier.select("id"), "id", "left_semi").select(F.col("other").alias("id"))
         if through is not None:
-            # Two repositories at a hub reach all members, one all but its own.
-            met = through.join(frontier.select("id"), "id", "left_semi").groupBy("hub").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
-            reached = reached.unionByName(through.join(met, "hub").filter("repo <> a or repo <> b").select("id"))
+            reached = reached.unionByName(_across(through, through.join(frontier.select("id"), "id", "left_semi")).select("id"))
         frontier = durable(
             reached.distinct()
             .join(known.select("id"), "id", "left_anti")
@@ -284,9 +303,15 @@ def neighbourhood(
         eligible.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
         .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
         .select(*edges.columns)
-        .orderBy("source", "target", "kind")
-        .limit(min(limit * 4, (1 << 31) - 1))
     )
+    if through is not None:
+        here = through.join(ids, "id", "left_semi")
+        asks = F.col("side") == "ask"
+        ends = _across(here, here).select(
+            F.when(asks, F.col("id")).otherwise(F.col("hub")).alias("source"), F.when(asks, F.col("hub")).otherwise(F.col("id")).alias("target")
+        )
+        inside = inside.unionByName(eligible.join(ends, ["source", "target"], "left_semi").select(*edges.columns))
+    inside = inside.orderBy("source", "target", "kind").limit(min(limit * 4, (1 << 31) - 1))
     return kept, inside
 
 

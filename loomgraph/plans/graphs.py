@@ -834,6 +834,37 @@ def federated_neighbourhood(t) -> DataFrame:
     return found.select("id", "hop")
 
 
+PAGE_SEEDS = (3, 4, 6)
+
+
+@query(
+    "federated_path_neighbourhood",
+    f"""
+    {LINKED_PAIRS_SQL},
+    l as (select distinct 'repo:' || repo || ':' || id as ask, 'hub:path:' || confidence || ':' || k as hub, 'repo:' || frepo || ':' || fid as offer from p),
+    b as (select ask as a, offer as z from l union select offer, ask from l),
+    h0 as (select 'repo:' || repo || ':' || id as id from m where id in ({", ".join(f"'m{i}'" for i in PAGE_SEEDS)})),
+    h1 as (select distinct z as id from b join h0 on a = id where z not in (select id from h0)),
+    h2 as (select distinct z as id from b join h1 on a = id where z not in (select id from h0) and z not in (select id from h1)),
+    h as (select id, 0 as hop from h0 union all select id, 1 from h1 union all select id, 2 from h2),
+    i as (select l.* from l where ask in (select id from h) and offer in (select id from h))
+    select id as source, null as target, hop from h
+    union all select * from (select distinct ask, hub, null::int from i union select distinct hub, offer, null::int from i)
+    """,
+)
+def federated_path_neighbourhood(t) -> DataFrame:
+    """Nodes within two hops of modules through the hubs of aliases, and the links between them."""
+    rows = page_graph(t).withColumn("id", F.regexp_replace("id", "^repo:[^:]*:", ""))
+    own = rows.limit(0).select("repo", F.col("id").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"))
+    nodes, edges = (durable(x) for x in federation.federate(rows, own))
+    seeds = nodes.filter(F.regexp_extract("id", r"([^:]*)$", 1).isin(*[f"m{i}" for i in PAGE_SEEDS]) & (F.col("kind") == "module"))
+    found, inside = graph.neighbourhood(nodes, edges, seeds, 2, "", nodes.count() + edges.count())
+    blank = F.lit(None)
+    return found.select(F.col("id").alias("source"), blank.cast("string").alias("target"), "hop").unionByName(
+        inside.select("source", "target", blank.cast("int").alias("hop"))
+    )
+
+
 # -- history -----------------------------------------------------------------------------
 
 

@@ -149,6 +149,30 @@ def test_impact_and_neighbourhood_walk_through_hubs(spark):
     assert near("repo:shared:f1", 1) == {"repo:shared:f1", "repo:app:m1"}
 
 
+def test_neighbourhood_goes_from_asks_to_offers(spark):
+    data = [(f"app{i}", f"m{i}", "module", "shared.util", None, None) for i in range(4)]
+    data += [("shared", "f1", "file", "util.py", "shared/util.py", None), ("shared", "m9", "module", "shared.util", None, None)]
+    none = spark.createDataFrame([], "repo string, source string, target string, kind string")
+    nodes, edges = federation.federate(spark.createDataFrame(data, NODE), none)
+    hub = "hub:path:0.92:shared/util"
+
+    def near(i, depth, limit=400):
+        found, inside = graph.neighbourhood(nodes, edges, spark.createDataFrame([(i,)], "id string"), depth, "", limit)
+        return [r.id for r in found.orderBy("hop", "id").collect()], {(r.source, r.target) for r in inside.collect()}
+
+    # Who asks for the same file is two hops away, and does not push it out.
+    first, file = "repo:app3:m3", "repo:shared:f1"
+    assert near(first, 1, 2) == ([first, file], {(first, hub), (hub, file)})
+    assert near(first, 2)[0] == [first, file, "repo:app0:m0", "repo:app1:m1", "repo:app2:m2"]
+    assert near(file, 1)[1] == {(hub, file)} | {(f"repo:app{i}:m{i}", hub) for i in range(4)}
+    assert near("repo:shared:m9", 1) == (["repo:shared:m9"], set())
+    # A hub that all members share in both ways returns theirs, and none of a member alone.
+    nodes, edges = federation_sample(spark)
+    name = "hub:symbol:function:refresh_token"
+    assert near("repo:worker:s2", 1)[1] == {("repo:api:s1", name), ("repo:worker:s2", name)}
+    assert near("repo:worker:s2", 0)[1] == set()
+
+
 @pytest.mark.parametrize("repositories", [2, 40])
 def test_groups_of_any_size_link_alike(spark, repositories):
     data = [(f"r{i}", f"s{i}", "function", "get", "x.py", 1) for i in range(repositories)]
