@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, neighbours, packing, simhash, substrings, toxicity, urls, warc
+from loomgraph.llm import exact, huffman, mixing, neighbours, packing, quality, simhash, substrings, toxicity, urls, warc, whitening
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,13 @@ def op9(t: Tables) -> DataFrame:
 @query("op10_toxicity")
 def op10(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op11_quality")
+def op11(t: Tables) -> DataFrame:
+    return quality.quality(t.documents, t.labels, 0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op12_whitening")
+def op12(t: Tables) -> DataFrame:
+    return whitening.whiten(t.embeddings).withColumn("deviation", F.expr("try_cast(deviation as long)"))
