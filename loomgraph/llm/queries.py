@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, huffman, mixing, neighbours, packing, quality, simhash, substrings, toxicity, urls, warc, whitening
+from loomgraph.llm import exact, huffman, mixing, neighbours, packing, quality, simhash, substrings, toxicity, urls, variants, warc, whitening
 from loomgraph.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,8 @@ def op11(t: Tables) -> DataFrame:
 @query("op12_whitening")
 def op12(t: Tables) -> DataFrame:
     return whitening.whiten(t.embeddings).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+@query("op13_variants")
+def op13(t: Tables) -> DataFrame:
+    return variants.variants(t.documents)
