@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from loomgraph.plans.registry import ORACLES, query
 from loomgraph.plans.sqltext import sql_case
 from loomgraph.plans.stores import mutations, writes
 from loomgraph.streaming import live, state
-from loomgraph.streaming.sources import drain, drain_batches, event_stream, parquet_stream
+from loomgraph.streaming.sources import arrivals, drain, event_stream
 
 
 class StreamTables:
@@ -58,8 +60,8 @@ def live_telemetry(t) -> DataFrame:
     return drain(live.telemetry_windows(rows, "1 hour", "10 minutes"), "telemetry")
 
 
-def span_stream(t) -> DataFrame:
-    return StreamTables(t).events.select(
+def spans_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "ts",
         F.col("user_id").cast("string").alias("trace_id"),
         lookup(SPAN_NAMES, F.col("event_type"), "engine.run").alias("name"),
@@ -69,6 +71,20 @@ def span_stream(t) -> DataFrame:
     )
 
 
+class Arrived:
+    """The events that a growing folder streams."""
+
+    def __init__(self, spark, events: DataFrame) -> None:
+        self.spark, self.events = spark, events
+
+
+def event_arrivals(t) -> Iterator[Arrived]:
+    """Events in three parts, the stream stopped and started again between them."""
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for stream in arrivals(rows, "event_id"):
+        yield Arrived(t.spark, stream)
+
+
 @query(
     "live_traces",
     f"""
@@ -78,12 +94,11 @@ def span_stream(t) -> DataFrame:
     """,
 )
 def live_traces(t) -> DataFrame:
-    """Per-batch trace deltas appended to a log and folded on read."""
-    log = state.VersionedTable(
-        t.spark, "trace-log", "trace_id string, spans long, errors long, duration_ms double, tool_calls long, context_tokens long"
-    )
-    drain_batches(span_stream(t), "traces", lambda batch, number: log.write(live.trace_deltas(batch), number))
-    return live.fold_trace_deltas(log.log()).withColumn("duration_ms", F.round("duration_ms", 4))
+    """Sums that stay in the state store and are read from it."""
+    traces = state.LiveTraces(t.spark)
+    for arrived in event_arrivals(t):
+        traces.drain(spans_of(arrived.events))
+    return traces.current().withColumn("duration_ms", F.round("duration_ms", 4))
 
 
 @query(
@@ -97,7 +112,7 @@ def live_traces(t) -> DataFrame:
     """,
 )
 def closed_traces(t) -> DataFrame:
-    out = drain(live.closed_traces(span_stream(t), "6 hours", "1 hour"), "sessions")
+    out = drain(live.closed_traces(spans_of(StreamTables(t).events), "6 hours", "1 hour"), "sessions")
     return out.withColumn("duration_ms", F.round("duration_ms", 4))
 
 
@@ -159,9 +174,10 @@ def acknowledge(t) -> DataFrame:
 
 @query("memory_sync_stream", ORACLES["memory_sync"])
 def memory_sync_stream(t) -> DataFrame:
-    handler = state.MemorySync(t.spark)
-    drain_batches(mutations(StreamTables(t)), "memory", handler)
-    out = handler.table.current()
+    merge = state.MemorySync(t.spark)
+    for arrived in event_arrivals(t):
+        merge.drain(mutations(arrived))
+    out = merge.current()
     return out.withColumns({"clock_a": F.col("clock")["a"], "clock_b": F.col("clock")["b"]}).drop("clock")
 
 
@@ -169,30 +185,68 @@ def memory_sync_stream(t) -> DataFrame:
 def optimistic_write_stream(t) -> DataFrame:
     seq = F.col("seq")
     expected = F.when(seq % 5 != 0, F.floor((seq * 7) % 23 / 4) + F.floor(seq / 800)).cast("long")
-    handler = state.OptimisticWrites(t.spark)
-    drain_batches(writes(StreamTables(t)).withColumn("expected", expected), "optimistic", handler)
-    out = handler.results.log()
-    return out.withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("revision", "found")})
+    checks = state.OptimisticWrites(t.spark)
+    for arrived in event_arrivals(t):
+        checks.drain(writes(arrived).withColumn("expected", expected))
+    return checks.results().withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("revision", "found")})
 
 
 @query("quota_stream", ORACLES["sliding_quota"])
 def quota_stream(t) -> DataFrame:
-    calls = StreamTables(t).events.select(
-        (F.col("user_id") % 40).cast("string").alias("principal"),
-        F.unix_micros("ts").alias("t"),
-        F.col("event_id").alias("seq"),
-    )
-    handler = state.SlidingQuota(t.spark, 3, 6 * 3_600_000_000)
-    drain_batches(calls, "quota", handler)
-    return handler.results.log().select("principal", "seq", "allowed")
+    quota = state.SlidingQuota(t.spark, 3, 6 * 3_600_000_000)
+    for arrived in event_arrivals(t):
+        calls = arrived.events.select(
+            (F.col("user_id") % 40).cast("string").alias("principal"),
+            F.unix_micros("ts").alias("t"),
+            F.col("event_id").alias("seq"),
+        )
+        quota.drain(calls)
+    return quota.results().select("principal", "seq", "allowed")
 
 
-@query("semantic_refresh")
+@query(
+    "semantic_refresh",
+    """
+    with d as (select doc_id, source, lang, case when doc_id % 10 = 0 then concat(text, ' (revised)') else text end as body, text from documents)
+    select cast(doc_id as varchar) as id, source as path, lang as symbol, sha256(concat_ws(chr(1), body, source, lang)) as digest,
+      cast(case when body is not distinct from text then 1 else 2 end as bigint) as version, 128 as cells
+    from d
+    """,
+)
 def semantic_refresh(t) -> DataFrame:
-    """Documents streamed into the semantic index; every one is embedded once."""
-    rows = parquet_stream(t.spark, t.folder, t.documents.schema, "documents*.parquet").select(
-        F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("path"), F.col("lang").alias("symbol")
+    """All documents come twice, every tenth with another text the second time: only those are embedded again."""
+    index = state.SemanticRefresh(t.spark, feature_hash(128))
+    ids = t.documents.select(
+        F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("path"), F.col("lang").alias("symbol"), F.lit(0).alias("round")
+    )
+    revised = F.when(F.col("id").cast("long") % 10 == 0, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
+    again = ids.withColumns({"text": revised, "round": F.lit(1)})
+    for stream in arrivals(ids.unionByName(again), "round", 2):
+        index.drain(stream)
+    return index.current().select("id", "path", "symbol", "digest", "version", F.size("vector").alias("cells"))
+
+
+@query(
+    "alert_stream",
+    """
+    with bounds as (select min(o_orderkey) as low, max(o_orderkey) as high from orders),
+    jobs as (select (o_orderkey - low) * 3 // (high - low + 1) as batch, o_orderstatus from orders, bounds),
+    sick as (select count(*) as n from supplier where s_acctbal < 0)
+    select cast(batch as bigint) as batch, 'job.failure' as kind, 'critical' as severity, count(*) || ' failed job(s) need attention.' as detail, count(*) as count
+    from jobs where o_orderstatus = 'F' group by batch
+    union all
+    select cast(batch as bigint), 'backend.unhealthy', 'warning', n || ' active backend(s) are unhealthy.', n
+    from (select distinct batch from jobs), sick where n > 0
+    """,
+)
+def alert_stream(t) -> DataFrame:
+    """Jobs arriving in three parts; every micro-batch appends its own notifications."""
+    alerts = live.AlertLog(t.supplier.select("s_suppkey", (F.col("s_acctbal") >= 0).alias("healthy")))
+    jobs = t.orders.select(
+        F.col("o_orderkey").alias("job_id"),
+        F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"),
+        F.col("o_orderdate").alias("created_at"),
     )
-    handler = state.SemanticRefresh(t.spark, feature_hash(128))
-    drain_batches(rows, "semantic", handler)
-    return handler.table.current().select("id", "path", F.size("vector").alias("cells"), "embedded_in")
+    for stream in arrivals(jobs, "job_id"):
+        alerts.start(stream).awaitTermination()
+    return alerts.notifications().select("batch", "kind", "severity", "detail", "count")

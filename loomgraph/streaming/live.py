@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators.access import audit_rows, decide
-from loomgraph.operators.ops import trace_summary
+from loomgraph.session import shared_path
 
 
 def request_windows(requests: DataFrame, size: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
@@ -50,17 +51,6 @@ def closed_traces(spans: DataFrame, gap: str = "30 minutes", delay: str = "1 hou
     )
 
 
-def trace_deltas(spans: DataFrame) -> DataFrame:
-    """Summary of one micro-batch of spans; deltas of a trace add up to its summary."""
-    return trace_summary(spans)
-
-
-def fold_trace_deltas(deltas: DataFrame) -> DataFrame:
-    """Whole-trace summaries from appended deltas."""
-    counts = ("spans", "errors", "duration_ms", "tool_calls", "context_tokens")
-    return deltas.groupBy("trace_id").agg(*[F.sum(c).alias(c) for c in counts])
-
-
 def audit_stream(requests: DataFrame, members: DataFrame, policies: DataFrame) -> DataFrame:
     """Policy decisions of a request stream against static members and policies."""
     return audit_rows(decide(requests, members, policies))
@@ -91,6 +81,32 @@ def alert_scan(jobs: DataFrame, backends: DataFrame, since: object = None) -> Da
     )
 
 
+class AlertLog:
+    """Alerts of a job stream, scanned micro-batch by micro-batch and appended once each.
+
+    A batch's notifications are one folder named after it, so a batch that is run again after a
+    failure replaces its own and adds none twice. Started again at its ``location``, the
+    stream goes on behind the last finished batch.
+    """
+
+    schema = "kind string, severity string, title string, detail string, resource string, count long"
+
+    def __init__(self, backends: DataFrame, location: str | None = None) -> None:
+        self.backends = backends
+        self.location = location or shared_path(backends.sparkSession, "alerts")
+
+    def start(self, jobs: DataFrame, **trigger) -> StreamingQuery:
+        writer = jobs.writeStream.foreachBatch(self._scan).option("checkpointLocation", f"{self.location}/progress")
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+    def _scan(self, jobs: DataFrame, number: int) -> None:
+        alert_scan(jobs, self.backends).write.mode("overwrite").parquet(f"{self.location}/log/batch={number}")
+
+    def notifications(self) -> DataFrame:
+        """All notifications with the batch that raised them."""
+        return self.backends.sparkSession.read.schema(f"{self.schema}, batch long").parquet(f"{self.location}/log")
+
+
 def acknowledge(notifications: DataFrame, acks: DataFrame) -> DataFrame:
     """Set ``acknowledged_at`` once: the first acknowledgement counts, set ones stay."""
     firsts = acks.groupBy("notification_id").agg(F.min("acknowledged_at").alias("_first"))

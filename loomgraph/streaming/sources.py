@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +41,16 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def drain_batches(
-    stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
-) -> None:
-    """Run a stream over everything available, handing each micro-batch to ``handle``."""
-    progress = shared_path(stream.sparkSession, f"{label}-progress")
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(handle)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+def arrivals(rows: DataFrame, order: str, parts: int = 3) -> Iterator[DataFrame]:
+    """A table arriving as files: the stream over its folder, each time another part is there.
+
+    Parts are equal ranges of ``order``, so a later part holds later rows. A stream that is drained
+    after every part has been stopped and started again in between.
+    """
+    spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "arrivals")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    low, high = low or 0, high or 0
+    for i in range(parts):
+        here = F.expr(f"coalesce(({order} - {low}) * {parts} div {high - low + 1}, 0)") == i
+        rows.where(here).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)

@@ -1,147 +1,320 @@
-"""Keyed state across micro-batches: shared memory, optimistic writes, quotas, semantic index.
+"""Keyed state across micro-batches: shared memory, optimistic writes, quotas, semantic index, live traces.
 
-Each micro-batch joins its rows with the state left by the batch before and runs the batch
-operator, so a key that receives a third of all rows is still split over tasks. State is a
-table version per batch in the shared folder. A batch that is run again reads the same
-earlier version and overwrites its own, which makes retries harmless.
+State lives in Spark's state store (RocksDB with a changelog), one entry a key, so a micro-batch
+reads and writes the keys it meets and nothing else. Progress, state and results lie below one
+``location``: an operator that is created again with it goes on where the last one stopped.
+
+Order matters inside a key, so the rows of one key are sorted in one task; the source's limit
+(``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds them by the size of a micro-batch. Sums,
+where order does not matter, are combined before the shuffle instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from loomgraph.operators.memory import KEY, memory_sync, optimistic_writes
-from loomgraph.operators.quota import sliding_quota
+from loomgraph.operators.memory import KEY
+from loomgraph.operators.ops import trace_summary
+from loomgraph.operators.quota import admit
 from loomgraph.session import shared_path
 
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
-class VersionedTable:
-    """One parquet table version per micro-batch."""
+class StatefulStream:
+    """A stream with keyed state that can be stopped and started again.
+
+    ``partitions`` splits the state's keys; it is fixed by the first start at a location.
+    """
 
-    def __init__(self, spark: SparkSession, label: str, schema: str) -> None:
+    def __init__(self, spark: SparkSession, location: str | None = None, partitions: int | None = None) -> None:
         self.spark = spark
-        self.path = shared_path(spark, label)
-        self.schema = schema
-        self.latest = -1
+        self.location = location or shared_path(spark, type(self).__name__.lower())
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.partitions = partitions or min(shuffled, spark.sparkContext.defaultParallelism)
 
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={batch - 1}")
+    @property
+    def progress(self) -> str:
+        return f"{self.location}/progress"
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        self.latest = batch
+    def plan(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The operator over a stream, and its output mode."""
+        raise NotImplementedError
 
-    def current(self) -> DataFrame:
-        return self.before(self.latest + 1)
+    def start(self, rows: DataFrame, **trigger) -> StreamingQuery:
+        """Start on a stream; without a trigger it runs over everything available and ends."""
+        stream, mode = self.plan(rows)
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", self.progress)
+        writer = writer.trigger(**(trigger or {"availableNow": True}))
+        # A query keeps the settings it was started with; the session gets its own back.
+        settings = STORE | {"spark.sql.shuffle.partitions": str(self.partitions)}
+        before = {name: self.spark.conf.get(name, None) for name in settings}
+        for name, value in settings.items():
+            self.spark.conf.set(name, value)
+        try:
+            return self.sink(writer)
+        finally:
+            for name, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(name)
+                else:
+                    self.spark.conf.set(name, value)
 
-    def log(self) -> DataFrame:
-        """Rows of every batch, for tables that hold per-batch results."""
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/v={v}" for v in range(self.latest + 1)])
+    def sink(self, writer) -> StreamingQuery:
+        """Results are appended as files; a batch that is run again adds none twice."""
+        return writer.format("parquet").option("path", f"{self.location}/results").start()
 
+    def drain(self, rows: DataFrame) -> StatefulStream:
+        self.start(rows).awaitTermination()
+        return self
 
-class MemorySync:
-    """Shared-memory merge: the stored state enters each batch as the key's first mutation."""
+    def results(self) -> DataFrame:
+        """What all micro-batches so far have given out."""
+        return self.spark.read.schema(self.output).parquet(f"{self.location}/results")
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.table = VersionedTable(
-            spark,
-            "memory-state",
-            "namespace string, key string, value string, node_id string, updated_at string, tombstone boolean, "
-            "clock map<string,int>, applied long, ignored long, conflicts long",
-        )
+    def entries(self, name: str = "state") -> DataFrame:
+        """``key, value`` of the store as the last finished micro-batch left it."""
+        return self.spark.read.format("statestore").option("stateVarName", name).load(self.progress).select("key", "value")
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        state = self.table.before(number)
-        columns = ["namespace", "key", "value", "node_id", "clock", "updated_at", "tombstone", "seq"]
-        # Sequence numbers are positive, so the state sorts in front of every new row.
-        rows = state.withColumn("seq", F.lit(-1).cast("long")).select(*columns).unionByName(batch.select(*columns))
-        merged = memory_sync(rows)
-        old = state.select(*KEY, *[F.col(c).alias(f"_{c}") for c in ("applied", "ignored", "conflicts")])
-        joined = merged.join(old, KEY, "left")
-        carried = F.when(F.col("_applied").isNull(), 0).otherwise(1)
-        counts = {
-            "applied": F.col("applied") - carried + F.coalesce("_applied", F.lit(0)),
-            "ignored": F.col("ignored") + F.coalesce("_ignored", F.lit(0)),
-            "conflicts": F.col("conflicts") + F.coalesce("_conflicts", F.lit(0)),
-        }
-        self.table.write(joined.withColumns(counts).drop("_applied", "_ignored", "_conflicts"), number)
-
-
-class OptimisticWrites:
-    """Revision-checked writes: expectations are shifted by the revision already stored."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.revisions = VersionedTable(spark, "revision-state", "namespace string, key string, revision long")
-        self.results = VersionedTable(
-            spark, "revision-log", "namespace string, key string, seq long, accepted boolean, revision long, found long"
-        )
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        state = self.revisions.before(number).withColumnRenamed("revision", "_base")
-        base = F.coalesce("_base", F.lit(0))
-        rows = batch.select(*KEY, "seq", "expected").join(state, KEY, "left").withColumn("_base", base)
-        shifted = rows.withColumn("expected", F.col("expected") - F.col("_base"))
-        decided = optimistic_writes(shifted)
-        results = decided.select(
-            *KEY, "seq", "accepted", (F.col("revision") + F.col("_base")).alias("revision"), (F.col("found") + F.col("_base")).alias("found")
-        )
-        self.results.write(results, number)
-        gained = self.results.before(number + 1).groupBy(*KEY).agg(F.max("revision").alias("_new"))
-        merged = state.join(gained, KEY, "full_outer")
-        self.revisions.write(
-            merged.select(*KEY, F.coalesce("_new", "_base", F.lit(0)).cast("long").alias("revision")), number
+class KeyedStream(StatefulStream):
+    """A stream whose keys are handled by a ``StatefulProcessor``."""
+
+    key: list[str]
+    output: str
+    time_mode = "None"
+
+    def processor(self) -> StatefulProcessor:
+        raise NotImplementedError
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def plan(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        handled = self.prepared(rows).groupBy(*self.key).transformWithState(
+            statefulProcessor=self.processor(), outputStructType=self.output, outputMode="Append", timeMode=self.time_mode
         )
+        return handled, "append"
+
+
+class Remembering(StatefulProcessor):
+    """Base of processors with one state value a key; ``row`` makes an output row of values."""
+
+    schema: str
+    names: str
+
+    def row(self, *values: object) -> Row:
+        return Row(*self.names.split())(*values)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    def close(self) -> None:
+        pass
+
+
+MEMORY = "value string, node_id string, updated_at string, tombstone boolean, clock map<string,int>, applied long, ignored long, conflicts long"
+
+
+def _later(one: tuple, other: tuple) -> bool:
+    """Order with nulls first."""
+    return [(x is not None, x or "") for x in one] > [(x is not None, x or "") for x in other]
+
+
+class _MemoryMerge(Remembering):
+    schema = MEMORY
+    names = "namespace key value node_id updated_at tombstone clock applied ignored conflicts"
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get() if self.state.exists() else None
+        kept, clock = (held[:4], dict(held[4] or {})) if held else (None, {})
+        applied, ignored, conflicts = held[5:] if held else (0, 0, 0)
+        for row in sorted(rows, key=lambda r: r["seq"]):
+            # A map arrives as a list of pairs.
+            new, given = dict(row["clock"] or ()), (row["value"], row["node_id"], row["updated_at"], row["tombstone"])
+            known = all(clock.get(node, 0) >= n for node, n in new.items())
+            covers = all(new.get(node, 0) >= n for node, n in clock.items())
+            if kept is not None and known:
+                ignored += 1
+            else:
+                applied += 1
+                if kept is None or covers:
+                    kept = given
+                else:
+                    conflicts += 1
+                    kept = given if _later((given[2], given[1]), (kept[2], kept[1])) else kept
+            clock = {node: max(clock.get(node, 0), new.get(node, 0)) for node in sorted({*clock, *new})}
+        entry = (*kept, clock, applied, ignored, conflicts)
+        self.state.update(entry)
+        yield self.row(*key, *entry)
+
+
+class MemorySync(KeyedStream):
+    """Shared-memory merge by vector clocks; ``results`` is the feed of changed entries.
+
+    Rows: ``namespace, key, value, node_id, clock, updated_at, tombstone, seq``.
+    """
+
+    key = KEY
+    output = f"namespace string, key string, {MEMORY}"
+
+    def processor(self) -> StatefulProcessor:
+        return _MemoryMerge()
+
+    def current(self) -> DataFrame:
+        """The entry of every key."""
+        return self.entries().select("key.*", "value.*")
+
 
+class _RevisionCheck(Remembering):
+    schema = "revision long"
+    names = "namespace key seq accepted revision found"
 
-class SlidingQuota:
-    """Quota decisions: allowed calls still inside the window are replayed in front of a batch.
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        revision = self.state.get()[0] if self.state.exists() else 0
+        for row in sorted(rows, key=lambda r: r["seq"]):
+            accepted = row["expected"] is None or row["expected"] == revision
+            revision += accepted
+            yield self.row(*key, row["seq"], accepted, revision if accepted else None, None if accepted else revision)
+        self.state.update((revision,))
 
-    Replayed calls are allowed again by construction, so they only fill the window.
+
+class OptimisticWrites(KeyedStream):
+    """Revision-checked writes; ``results`` holds the verdict on each. Rows: ``namespace, key, seq, expected``."""
+
+    key = KEY
+    output = "namespace string, key string, seq long, accepted boolean, revision long, found long"
+
+    def processor(self) -> StatefulProcessor:
+        return _RevisionCheck()
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*KEY, "seq", "expected")
+
+    def current(self) -> DataFrame:
+        """The revision of every key."""
+        return self.entries().select("key.*", "value.*")
+
+
+class _QuotaCheck(Remembering):
+    schema = "open array<bigint>"
+    names = "principal t seq allowed"
+
+    def __init__(self, limit: int, window: int) -> None:
+        self.limit, self.window = limit, window
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        calls = sorted((row["seq"], row["t"]) for row in rows)
+        carried = self.state.get()[0] if self.state.exists() else []
+        allowed, left = admit([t for _, t in calls], carried, self.limit, self.window)
+        for (seq, t), passed in zip(calls, allowed, strict=True):
+            yield self.row(*key, t, seq, passed)
+        self.state.update((left,))
+        if left:
+            self.handle.registerTimer((left[-1] + self.window) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Forget a principal whose window has emptied."""
+        if self.state.exists():
+            left = self.state.get()[0]
+            if not left or left[-1] + self.window <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+                self.state.clear()
+        return iter(())
+
+
+class SlidingQuota(KeyedStream):
+    """Quota decisions. Rows: ``principal, t, seq`` with ``t`` in microseconds, in one order with ``seq``.
+
+    The state of a principal is its allowed calls inside the window, at most ``limit``; a timer
+    clears it once the watermark, ``lateness`` behind the newest call, has passed them. Calls later
+    than that are dropped.
     """
 
-    def __init__(self, spark: SparkSession, limit: int, window_micros: int) -> None:
-        self.limit, self.window = limit, window_micros
-        self.open_calls = VersionedTable(spark, "quota-state", "principal string, t long, seq long")
-        self.results = VersionedTable(spark, "quota-log", "principal string, t long, seq long, allowed boolean")
-
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        carried = self.open_calls.before(number).withColumn("_old", F.lit(True))
-        rows = carried.unionByName(batch.select("principal", "t", "seq").withColumn("_old", F.lit(False)))
-        decided = sliding_quota(rows, self.limit, self.window)
-        self.results.write(decided.filter("not _old").select("principal", "t", "seq", "allowed"), number)
-        now = self.results.before(number + 1)
-        allowed = carried.select("principal", "t", "seq").unionByName(now.filter("allowed").select("principal", "t", "seq"))
-        last = now.select("principal", "t").unionByName(carried.select("principal", "t"))
-        newest = last.groupBy("principal").agg(F.max("t").alias("_now"))
-        kept = allowed.join(newest, "principal").filter(F.col("t") > F.col("_now") - self.window)
-        self.open_calls.write(kept.select("principal", "t", "seq"), number)
-
-
-class SemanticRefresh:
+    key = ["principal"]
+    output = "principal string, t long, seq long, allowed boolean"
+    time_mode = "EventTime"
+
+    def __init__(self, spark: SparkSession, limit: int, window_micros: int, location: str | None = None, lateness: str = "1 hour", **options) -> None:
+        super().__init__(spark, location, **options)
+        self.limit, self.window, self.lateness = limit, window_micros, lateness
+
+    def processor(self) -> StatefulProcessor:
+        return _QuotaCheck(self.limit, self.window)
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        timed = rows.select("principal", "t", "seq", F.timestamp_micros("t").alias("_at"))
+        return timed.withWatermark("_at", self.lateness)
+
+
+class _DigestCheck(Remembering):
+    schema = "digest string, version long"
+    names = "id text path symbol digest version"
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        digest, version = self.state.get() if self.state.exists() else (None, 0)
+        # Of several rows in a batch the one with the greatest digest counts: any fixed choice will do.
+        row = max(rows, key=lambda r: r["digest"])
+        if row["digest"] != digest:
+            self.state.update((row["digest"], version + 1))
+            yield self.row(*key, row["text"], row["path"], row["symbol"], row["digest"], version + 1)
+
+
+class SemanticRefresh(KeyedStream):
     """Semantic index that embeds only new or changed documents.
 
     ``embed`` is any ``text -> array<double>`` column function. Documents: ``id, text, path,
-    symbol``; a document is unchanged when all of them are.
+    symbol``; a document is unchanged when all of them are. The state is a digest and a version
+    a document; vectors are appended, and the index is the last version of each.
     """
 
-    def __init__(self, spark: SparkSession, embed) -> None:
+    key = ["id"]
+    changed = "id string, text string, path string, symbol string, digest string, version long"
+    output = "id string, path string, symbol string, digest string, version long, vector array<double>"
+
+    def __init__(self, spark: SparkSession, embed, location: str | None = None, **options) -> None:
+        super().__init__(spark, location, **options)
         self.embed = embed
-        self.table = VersionedTable(
-            spark, "semantic-index", "id string, path string, symbol string, digest string, vector array<double>, embedded_in long"
-        )
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        old = self.table.before(number)
-        rows = batch.withColumn(
-            "digest", F.sha2(F.concat_ws("\u0001", "text", "path", "symbol"), 256)
-        ).dropDuplicates(["id"])
-        known = old.select("id", "digest")
-        changed = rows.join(known, ["id", "digest"], "left_anti")
-        fresh = changed.select(
-            "id", "path", "symbol", "digest", self.embed(F.col("text")).alias("vector"), F.lit(number).cast("long").alias("embedded_in")
+    def processor(self) -> StatefulProcessor:
+        return _DigestCheck()
+
+    def plan(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        digest = F.sha2(F.concat_ws("\u0001", "text", "path", "symbol"), 256)
+        handled = rows.select("id", "text", "path", "symbol", digest.alias("digest")).groupBy(*self.key).transformWithState(
+            statefulProcessor=self.processor(), outputStructType=self.changed, outputMode="Append", timeMode=self.time_mode
         )
-        kept = old.join(changed.select("id"), "id", "left_anti")
-        self.table.write(kept.unionByName(fresh), number)
+        return handled.select("id", "path", "symbol", "digest", "version", self.embed(F.col("text")).alias("vector")), "append"
+
+    def current(self) -> DataFrame:
+        """The index: an aggregate by id over the appended versions."""
+        rest = ("path", "symbol", "digest", "vector")
+        last = self.results().groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("r"), F.max("version").alias("version"))
+        return last.select("id", "r.*", "version")
+
+
+class LiveTraces(StatefulStream):
+    """Whole-trace sums of a span stream: a streaming aggregate, combined before the shuffle, so no trace is hot.
+
+    Rows: ``trace_id, name, status, duration_ms, attributes``. Nothing is given out; ``current``
+    reads the sums from the store.
+    """
+
+    def plan(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        return trace_summary(rows), "update"
+
+    def sink(self, writer) -> StreamingQuery:
+        return writer.format("noop").start()
+
+    def current(self) -> DataFrame:
+        stored = self.spark.read.format("statestore").load(self.progress)
+        # The store names sums after their functions, twice the same; their order is the aggregate's.
+        sums = "struct<spans:bigint,errors:bigint,duration_ms:double,tool_calls:bigint,context_tokens:bigint>"
+        return stored.select("key.*", F.col("value").cast(sums).alias("sums")).select("trace_id", "sums.*")

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import memory, quota
 from loomgraph.functions import clocks
-from loomgraph.session import shared_path
-from loomgraph.streaming import state
-from loomgraph.streaming.sources import drain_batches, parquet_stream
 
 MUTATION = "namespace string, key string, value string, node_id string, clock map<string,int>, updated_at string, tombstone boolean, seq long"
 
@@ -76,25 +73,6 @@ def test_memory_sync_equals_fold(spark, seed):
     assert as_states(memory.memory_sync(df, segment_rows=8)) == expected_states(data)
 
 
-def write_parts(spark, data, schema, parts):
-    folder = shared_path(spark, "parts")
-    size = -(-len(data) // parts)
-    for i in range(parts):
-        part = data[i * size : (i + 1) * size]
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
-def test_memory_sync_stream_over_several_batches(spark):
-    data = random_mutations(9)
-    folder = write_parts(spark, data, MUTATION, 3)
-    schema = spark.read.parquet(folder).schema
-    handler = state.MemorySync(spark)
-    drain_batches(parquet_stream(spark, folder, schema, files_per_trigger=1), "memory", handler)
-    assert handler.table.latest == 2
-    assert as_states(handler.table.current()) == expected_states(data)
-
-
 def test_clock_table(spark):
     cases = [({"a": 1}, {"a": 2}, "before"), ({"a": 2}, {"b": 1}, "concurrent"), ({}, {}, "equal"), ({"a": 3}, {"a": 2}, "after")]
     df = spark.createDataFrame(cases, "l map<string,int>, r map<string,int>, want string")
@@ -146,17 +124,6 @@ def test_optimistic_writes_equal_sequential_rule(spark, seed):
     assert got == accept(data)
 
 
-def test_optimistic_stream_over_several_batches(spark):
-    rng = random.Random(11)
-    data = [("n", rng.choice("ab"), i, rng.choice([None, 0, 1, i // 9])) for i in range(90)]
-    folder = write_parts(spark, data, "namespace string, key string, seq long, expected long", 3)
-    schema = spark.read.parquet(folder).schema
-    handler = state.OptimisticWrites(spark)
-    drain_batches(parquet_stream(spark, folder, schema, files_per_trigger=1), "writes", handler)
-    got = {r.seq: (r.accepted, r.revision, r.found) for r in handler.results.log().collect()}
-    assert got == accept([d[1:] for d in data])
-
-
 def test_team_memory_revisions(spark):
     df = spark.createDataFrame([("n", "k", "one", 1), ("n", "k", "two", 2)], "namespace string, key string, value string, seq long")
     assert [(r.value, r.revision) for r in memory.history(df).orderBy("revision").collect()] == [("one", 1), ("two", 2)]
@@ -191,13 +158,3 @@ def test_sliding_quota_equals_sequential_rule(spark, segment):
     df = spark.createDataFrame(calls, "principal string, t long, seq long")
     got = {r.seq: r.allowed for r in quota.sliding_quota(df, 3, 20, segment_rows=segment).collect()}
     assert got == sliding(calls, 3, 20)
-
-
-def test_quota_stream_over_several_batches(spark):
-    calls = random_calls(5, 120)
-    folder = write_parts(spark, calls, "principal string, t long, seq long", 3)
-    handler = state.SlidingQuota(spark, 3, 20)
-    drain_batches(
-        parquet_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1), "quota", handler
-    )
-    assert {r.seq: r.allowed for r in handler.results.log().collect()} == sliding(calls, 3, 20)
