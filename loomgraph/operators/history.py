@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.scans import overlapping, prefix, segment_of
+from loomgraph.operators.scans import overlapping, prefix, segment_of, top_per
 from loomgraph.session import durable
 
 #: Commits touching more files than this are counted by file groups, not by file pairs.
 WIDE_COMMIT = 64
+#: Groups of a wide commit that one task pairs with as many others, and wide commits whose first pairs give a bound.
+TILE = 1024
+SEEDS = 64
 
 
 def touches(commits: DataFrame) -> DataFrame:
@@ -26,18 +29,70 @@ def author_activity(commits: DataFrame, top: int = 20) -> DataFrame:
     return per_author.agg(F.count("*").alias("commits")).orderBy(F.desc("commits"), "author", "email").limit(top)
 
 
+def _histories(broad: DataFrame) -> DataFrame:
+    """``path, group, touched``: files that took part in the same commits share a group.
+
+    A set of commits is named by its size and by the sum and exclusive or of two 64-bit hashes of
+    its members, which add up commit by commit: no file's history is ever one value.
+    """
+    one, other = F.xxhash64("sha"), F.xxhash64(F.lit("other"), "sha")
+    low = one.bitwiseAND((1 << 32) - 1)
+    sketch = broad.groupBy("path").agg(
+        F.count("*").alias("touched"), F.sum(low).alias("_s"), F.bit_xor(one).alias("_x"), F.bit_xor(other).alias("_y")
+    )
+    return sketch.select("path", F.concat_ws(":", "touched", "_s", "_x", "_y").alias("group"), "touched")
+
+
+def _overlaps(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """``ga, gb, common``: commits that two groups share, for the pairs asked for."""
+    first = pairs.join(member.select(F.col("group").alias("ga"), "sha"), "ga")
+    return first.join(member.select(F.col("group").alias("gb"), "sha"), ["gb", "sha"]).groupBy("ga", "gb").agg(F.count("*").alias("common"))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs ``ga < gb`` of groups that meet in a commit, tile by tile.
+
+    ``left`` and ``right`` hold ``sha, group``. A commit's groups are dealt to tiles of about ``TILE``
+    on both sides, and every pair of tiles is a join key of its own.
+    """
+    tiles = right.groupBy("sha").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_rights"))
+    tiles = left.groupBy("sha").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_lefts")).join(tiles, "sha")
+
+    def dealt(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        tile = F.pmod(F.xxhash64("group"), F.col(f"_{own}")).alias(f"_{own[0]}")
+        spread = F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(f"_{other[0]}")
+        return side.join(tiles, "sha").select("sha", F.col("group").alias(name), tile.cast("int").alias(f"_{own[0]}"), spread)
+
+    met = dealt(left, "x", "lefts", "rights").join(dealt(right, "y", "rights", "lefts"), ["sha", "_l", "_r"]).filter("x <> y")
+    return met.select(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb")).distinct()
+
+
+def _but_widest(member: DataFrame, n: int) -> DataFrame:
+    """Memberships without every group's ``n`` widest commits.
+
+    Two groups that share more than ``n`` commits also meet in one of these: with commits in one
+    order, the last ``n`` of either cannot hold all that they share.
+    """
+    if n < 1:
+        return member.select("sha", "group")
+    widest = top_per(member, ["group"], [F.desc("_files"), F.desc("sha")], n)
+    return member.filter(F.col("touched") > n).join(widest.select("sha", "group"), ["sha", "group"], "left_anti").select("sha", "group")
+
+
 def co_change(commits: DataFrame, top: int = 30, wide: int = WIDE_COMMIT) -> DataFrame:
     """File pairs that change together most often.
 
     A commit of at most ``wide`` files is expanded into its pairs, so one row grows by a
-    bounded factor. A wider commit is never expanded. Files that took part in exactly the
-    same wide commits form one group: any two of them share the same wide count, and so do
-    any two files of two given groups. So wide commits are counted once per pair of groups.
-
-    A pair that also meets in a narrow commit is counted exactly by adding its groups'
-    overlap. Of the other pairs of two groups, all equal in count, only the ``top`` first in
-    path order can reach the result, and those come from the ``top + 1`` first files of each
-    group. Everything else is provably behind them, so the result equals the full count.
+    bounded factor. A wider commit is not. Files that took part in exactly the same wide commits
+    form one group, as any two files of two given groups share the same number of them.
+
+    A pair that meets in a narrow commit is counted exactly, by adding its groups' overlap. With
+    some pairs of the most touched groups and of the widest commits that gives ``top`` pairs, and
+    so a count ``least`` that a pair must exceed, or reach with a path in front of the
+    last one's. Two groups that share so many commits also meet in one that is not among the
+    widest few of either, so the widest commits are left out of the search; what meets is
+    recounted. Of the pairs of two groups, all equal, only those of the ``top + 1`` first files
+    of each can reach the result. So the result equals the full count.
     """
     files = durable(touches(commits))
     sizes = files.groupBy("sha").agg(F.count("*").alias("_files"))
@@ -51,56 +106,74 @@ def co_change(commits: DataFrame, top: int = 30, wide: int = WIDE_COMMIT) -> Dat
         .groupBy("left", "right")
         .agg(F.count("*").alias("narrow"))
     )
-    broad = files.join(sizes.filter(is_wide).select("sha"), "sha", "left_semi")
+    order = [F.desc("commits"), F.asc("left"), F.asc("right")]
+    broad = durable(files.join(sizes.filter(is_wide), "sha"))
     if broad.isEmpty():
-        ranked = met.select("left", "right", F.col("narrow").alias("commits"))
-        return ranked.orderBy(F.desc("commits"), "left", "right").limit(top)
-    grouped = durable(
-        broad.groupBy("path")
-        .agg(F.array_sort(F.collect_set("sha")).alias("shas"))
-        .withColumn("group", F.sha2(F.array_join("shas", "\n"), 256))
-    )
-    groups = durable(grouped.groupBy("group").agg(F.first("shas").alias("shas")))
-    label = grouped.select("path", "group")
+        return met.select("left", "right", F.col("narrow").alias("commits")).orderBy(*order).limit(top)
+    met = durable(met)
+    label = durable(_histories(broad))
+    groups = label.groupBy("group").agg(F.min("path").alias("path"), F.max("touched").alias("touched"), F.count("*").alias("files"))
+    groups = durable(groups)
+    member = durable(broad.join(groups.select("path", "group", "touched"), "path").select("sha", "_files", "group", "touched", "path"))
+    firsts = durable(top_per(label.select("path", "group"), ["group"], [F.asc("path")], top + 1))
 
     def side(name: str) -> DataFrame:
-        return label.select(F.col("path").alias(name), F.col("group").alias(f"_g_{name}"))
-
-    def shas(name: str) -> DataFrame:
-        return groups.select(F.col("group").alias(f"_g_{name}"), F.col("shas").alias(f"_s_{name}"))
-
-    common = F.coalesce(F.size(F.array_intersect("_s_left", "_s_right")), F.lit(0))
-    exact = durable(
-        met.join(side("left"), "left", "left")
-        .join(side("right"), "right", "left")
-        .join(shas("left"), "_g_left", "left")
-        .join(shas("right"), "_g_right", "left")
-        .select("left", "right", (F.col("narrow") + common).alias("commits"))
-        .orderBy(F.desc("commits"), "left", "right")
-        .limit(top)
-    )
-    # A pair that only meets in wide commits must reach the worst of the best to matter, and
-    # it cannot meet more often than either group was touched.
-    best = exact.agg(F.count("*").alias("n"), F.min("commits").alias("floor")).first()
-    floor = best["floor"] if best["n"] == top else 1
-    member = groups.filter(F.size("shas") >= floor).select("group", F.explode("shas").alias("sha"))
-    overlap = (
-        member.select("sha", F.col("group").alias("ga"))
-        .join(member.select("sha", F.col("group").alias("gb")), "sha")
-        .groupBy("ga", "gb")
-        .agg(F.count("*").alias("commits"))
-        .filter(F.col("commits") >= floor)
-    )
-    order = Window.partitionBy("group").orderBy("path")
-    firsts = label.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= top + 1)
-    fresh = (
-        overlap.join(firsts.select(F.col("group").alias("ga"), F.col("path").alias("left")), "ga")
-        .join(firsts.select(F.col("group").alias("gb"), F.col("path").alias("right")), "gb")
-        .filter("left < right")
-        .select("left", "right", "commits")
-        .join(met, ["left", "right"], "left_anti")
-    )
-    return exact.unionByName(fresh).orderBy(F.desc("commits"), "left", "right").limit(top)
+        return label.select(F.col("path").alias(name), F.col("group").alias(f"g_{name}"), F.col("touched").alias(f"n_{name}"))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """``ga, gb, common`` of pairs of groups, with those of one group."""
+        apart = _overlaps(pairs.filter("ga <> gb"), member)
+        same = pairs.filter("ga = gb").join(groups.select(F.col("group").alias("ga"), F.col("touched").alias("common")), "ga")
+        return apart.unionByName(same)
+
+    def expanded(overlaps: DataFrame) -> DataFrame:
+        """The first pairs of files of pairs of groups, but those that a narrow commit counts."""
+        turned = overlaps.unionByName(overlaps.filter("ga <> gb").selectExpr("gb as ga", "ga as gb", "common"))
+        return (
+            turned.join(firsts.select(F.col("group").alias("ga"), F.col("path").alias("left")), "ga")
+            .join(firsts.select(F.col("group").alias("gb"), F.col("path").alias("right")), "gb")
+            .filter("left < right")
+            .select("left", "right", F.col("common").alias("commits"))
+            .join(met, ["left", "right"], "left_anti")
+        )
+
+    # Pairs of narrow commits: one that even its groups' smaller history cannot lift is left out.
+    known = met.orderBy(F.desc("narrow")).limit(top).agg(F.count("*").alias("n"), F.min("narrow").alias("least")).first()
+    most = F.col("narrow") + F.coalesce(F.least("n_left", "n_right"), F.lit(0))
+    most = F.when(F.col("n_left").isNull() | F.col("n_right").isNull(), F.col("narrow")).otherwise(most)
+    held = met.join(side("left"), "left", "left").join(side("right"), "right", "left")
+    held = durable(held.filter(most >= (known["least"] if known["n"] == top else 1)))
+    both = held.filter("g_left is not null and g_right is not null")
+    asked = both.select(F.least("g_left", "g_right").alias("ga"), F.greatest("g_left", "g_right").alias("gb")).distinct()
+    lifts = counted(asked)
+    pair = [F.least("g_left", "g_right") == F.col("ga"), F.greatest("g_left", "g_right") == F.col("gb")]
+    exact = held.join(lifts, pair, "left").select("left", "right", (F.col("narrow") + F.coalesce("common", F.lit(0))).alias("commits"))
+    exact = durable(exact.orderBy(*order).limit(top))
+
+    # Some pairs of wide commits, for a good bound: any others would be as right, and cost more.
+    copies = groups.filter("files > 1").orderBy(F.desc("touched"), "path").limit(top).select(F.col("group").alias("ga"), F.col("group").alias("gb"))
+    widest = broad.select("sha", "_files").distinct().orderBy(F.desc("_files"), "sha").limit(SEEDS)
+    early = top_per(member.join(widest.select("sha"), "sha"), ["sha"], [F.asc("path")], top + 1)
+    lead = early.groupBy("sha").agg(F.min_by("group", "path").alias("x"))
+    early = early.join(lead, "sha").filter("x <> group").select(F.least("x", "group").alias("ga"), F.greatest("x", "group").alias("gb"))
+    seeds = expanded(counted(durable(copies.unionByName(early.distinct()))))
+    best = exact.unionByName(seeds).orderBy(*order).limit(top)
+    bound = best.agg(F.count("*").alias("n"), F.min("commits").alias("least"), F.max_by("left", F.struct(-F.col("commits"), "left")).alias("last")).first()
+    least, last = (bound["least"], bound["last"]) if bound["n"] == top else (0, None)
+
+    def same(condition) -> DataFrame:
+        return groups.filter("files > 1").filter(condition).select(F.col("group").alias("ga"), F.col("group").alias("gb"))
+
+    more = _but_widest(member, least)
+    found = _met(more, more).unionByName(same(F.col("touched") > least))
+    if least:
+        # As many as the last of the best: only in front of it, so one file's group starts no later.
+        ties = _but_widest(member, least - 1)
+        front = groups.filter(F.col("path") <= last).select("group")
+        found = found.unionByName(_met(ties.join(front, "group", "left_semi"), ties))
+        found = found.unionByName(same((F.col("touched") == least) & (F.col("path") <= last)))
+    fresh = expanded(counted(durable(found.distinct())).filter(F.col("common") >= max(least, 1)))
+    return exact.unionByName(fresh).orderBy(*order).limit(top)
 
 
 def line_ownership(blame: DataFrame, keys: list[str]) -> DataFrame:

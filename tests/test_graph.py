@@ -211,6 +211,39 @@ def test_co_change_equals_pair_counts(spark, wide):
     assert got == want
 
 
+def pair_counts(commits, top):
+    pairs = Counter()
+    for files in commits.values():
+        ranked = sorted(set(files))
+        pairs.update((a, b) for i, a in enumerate(ranked) for b in ranked[i + 1 :])
+    return sorted(((a, b, c) for (a, b), c in pairs.items()), key=lambda x: (-x[2], x[0], x[1]))[:top]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_co_change_of_wide_commits(spark, monkeypatch, seed):
+    """Ties, copies of one history, commits of several tiles and no narrow commit at all."""
+    monkeypatch.setattr(history, "TILE", 3)
+    monkeypatch.setattr(history, "SEEDS", [1, 64, 0, 2][seed])
+    rng = random.Random(seed)
+    names = [f"f{j:02}" for j in range(24)]
+    commits = {f"c{i}": rng.sample(names, rng.choice([4, 9, 20] if seed < 3 else [1, 2, 12])) for i in range(30)}
+    for i in range(3):
+        commits[f"d{i}"] = [*names[5:9], "x1", "x2", "x3"]
+    df = spark.createDataFrame([(s, p) for s, ps in commits.items() for p in ps], "sha string, path string")
+    got = [tuple(r) for r in history.co_change(df, 7, 3).orderBy(F.desc("commits"), "left", "right").collect()]
+    assert got == pair_counts(commits, 7)
+
+
+def test_a_giant_commit_is_not_expanded(spark):
+    """All files meet in one commit and have each another one of their own: two giant ones would make 10^10 pairs."""
+    n = 100_000
+    giant = spark.range(n).selectExpr("'giant' as sha", "format_string('f%06d', id) as path")
+    giant = giant.unionByName(giant.withColumn("sha", F.lit("giant2")).filter("path > 'f000009'"))
+    own = spark.range(n).selectExpr("concat('s', id div 70) as sha", "format_string('f%06d', (id * 7919) % 100000) as path")
+    got = [tuple(r) for r in history.co_change(giant.unionByName(own), 5).orderBy(F.desc("commits"), "left", "right").collect()]
+    assert [c for *_, c in got] == [3] * 5 and all(a < b for a, b, _ in got)
+
+
 def test_two_commits(spark):
     df = spark.createDataFrame([("1", "a.py"), ("1", "b.py"), ("2", "a.py")], "sha string, path string")
     assert [tuple(r) for r in history.hot_files(df).collect()] == [("a.py", 2), ("b.py", 1)]
