@@ -2,61 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import directory, path_parts
-from loomgraph.operators.scans import asof, stab
+from loomgraph.operators.scans import asof, stab, top_per
+from loomgraph.session import durable
 
 CALLABLE_KINDS = ("function", "async_function", "method")
 TYPE_KINDS = ("class", "interface")
 MAX_CANDIDATES = 5
+#: Candidate folders of a list that are compared one by one, and shared names that count at most.
+LIST = 64
+DEEPEST = 4
 
 
-def _folder_sets(path: Column) -> Column:
-    """Every set of one to four distinct folder names of a path, as ``(size, key)``."""
-    parts = path_parts(path)
-    names = F.array_sort(F.array_distinct(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))))
-    indexed = F.transform(names, lambda n, i: F.struct(i.alias("at"), n.alias("key")))
-    level = indexed
-    out = [F.transform(level, lambda s: F.struct(F.lit(1).alias("size"), s["key"].alias("key")))]
-    for size in (2, 3, 4):
-        level = F.flatten(
-            F.transform(
-                level,
-                lambda s: F.transform(
-                    F.filter(indexed, lambda n: n["at"] > s["at"]),
-                    lambda n: F.struct(n["at"].alias("at"), F.concat(s["key"], F.lit("/"), n["key"]).alias("key")),
-                ),
-            )
-        )
-        out.append(_sized(level, size))
-    return F.concat(*out)
-
-
-def _sized(level: Column, size: int) -> Column:
-    return F.transform(level, lambda s: F.struct(F.lit(size).alias("size"), s["key"].alias("key")))
-
-
-def _folder_keys(path: Column) -> Column:
-    """Keys two paths share when their folders are that close, with the score each is worth."""
-
-    def entry(prefix: str, key: Column, worth: Column, reason: str) -> Column:
-        return F.struct(
-            F.concat(F.lit(prefix), key).alias("key"), worth.alias("worth"), F.lit(reason).alias("reason")
-        )
-
-    shared = F.transform(
-        _folder_sets(path),
-        lambda s: entry("S|", s["key"], (s["size"] * 0.03).cast("double"), "shared_package_path"),
-    )
-    fixed = F.array(
-        entry("D|", directory(path), F.lit(0.20), "same_directory"), entry("", F.lit(""), F.lit(0.0), "")
-    )
-    return F.concat(fixed, shared)
+def _folder_names(folder: Column) -> Column:
+    """Distinct names on the way to a folder."""
+    return F.array_distinct(F.filter(path_parts(folder), lambda name: name != ""))
 
 
-def _top(asks: DataFrame, offers: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+def _best(met: DataFrame, keys: list[str]) -> DataFrame:
     """Best five candidates per ask as an array of ``(neg score, id, reasons)``."""
     fits = F.col("group") == F.col("fit")
     extra = F.when(fits, F.when(F.col("group") == "callable", "callable_kind").otherwise("type_kind"))
@@ -65,23 +31,66 @@ def _top(asks: DataFrame, offers: DataFrame, on: list[str], keys: list[str]) ->
         F.array(F.lit("exact_symbol_name"), F.nullif("reason", F.lit("")), extra), lambda r: r.isNotNull()
     )
     scored = (
-        asks.join(offers, on)
-        .withColumn("_score", score)
+        met.withColumn("_score", score)
         .groupBy(*keys, "id")
         .agg(F.max_by(F.struct("_score", reasons.alias("reasons")), "_score").alias("c"))
     )
-    # At most five ids per key and group arrive here, so these lists are short by construction.
-    best = F.collect_list(
-        F.struct((-F.col("c._score")).alias("neg"), "id", F.col("c.reasons").alias("reasons"))
-    )
-    return scored.groupBy(*keys).agg(F.slice(F.array_sort(best), 1, MAX_CANDIDATES).alias("top"))
+    best = F.struct((-F.col("c._score")).alias("neg"), "id", F.col("c.reasons").alias("reasons"))
+    ranked = top_per(scored.select(*keys, best.alias("best")), keys, [F.asc("best")], MAX_CANDIDATES)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("best")).alias("top"))
+
+
+def _lists(places: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``repo, target, folder, names, key, rest``: a folder under each of its names, those of short lists first."""
+    place = ["repo", "target", "folder"]
+    names = places.select(*place, F.explode(_folder_names(F.col("folder"))).alias("name")).join(sizes, ["repo", "target", "name"])
+    ranked = names.groupBy(*place).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("names"))
+    return _further(ranked.select(*place, "names", F.lit("").alias("key"), F.col("names").alias("rest")))
+
+
+def _further(lists: DataFrame) -> DataFrame:
+    """Each folder under its list's key with any one of the names that follow."""
+    spread = lists.select("repo", "target", "folder", "names", "key", "rest", F.posexplode("rest").alias("at", "name"))
+    key = F.concat("key", F.lit("/"), "name").alias("key")
+    return spread.select("repo", "target", "folder", "names", key, F.expr("slice(rest, at + 2, size(rest))").alias("rest"))
+
+
+def _shared(asks: DataFrame, places: DataFrame, offers: DataFrame) -> DataFrame:
+    """``repo, target, folder, group, id, worth`` of candidates whose folder shares names with an asking folder.
+
+    Folders meet in lists of one name. In a list of at most ``LIST`` candidate folders all are
+    compared. A longer one offers its smallest ids, and is split by another name, up to the four
+    that count: five ids of a list, or folders with another name in common, are all that can
+    be among the five best. Names that start short lists come first, so a path
+    of many folders has a list for each and more only behind crowded ones.
+    """
+    sizes = places.select("repo", "target", F.explode(_folder_names(F.col("folder"))).alias("name"))
+    sizes = durable(sizes.groupBy("repo", "target", "name").agg(F.count("*").alias("n")))
+    held, sought = durable(_lists(places, sizes)), durable(_lists(asks, sizes))
+    on, place = ["repo", "target", "key"], ["repo", "target", "folder"]
+    pairs, found = None, None
+    for depth in range(1, DEEPEST + 1):
+        counts = durable(held.groupBy(*on).agg(F.count("*").alias("n")))
+        few, crowded = (counts.filter(c).select(*on) for c in (F.col("n") <= LIST, F.col("n") > LIST))
+        close = sought.join(few, on).join(held.select(*on, F.col("folder").alias("other"), F.col("names").alias("theirs")), on)
+        close = close.select(*place, "names", "other", "theirs")
+        pairs = close if pairs is None else pairs.unionByName(close)
+        if counts.filter(F.col("n") > LIST).isEmpty():
+            break
+        many = durable(held.join(crowded, on))
+        first = _offers(many.select(*place, "key").join(offers, place), on)
+        reached = sought.join(first, on).select(*place, "group", "id", F.lit(0.03 * depth).alias("worth"))
+        found = reached if found is None else found.unionByName(reached)
+        held, sought = durable(_further(many)), durable(_further(sought.join(crowded, on, "left_semi")))
+    alike = F.least(F.lit(DEEPEST), F.size(F.array_intersect("names", "theirs"))) * 0.03
+    close = pairs.select(*place, "other", alike.alias("worth")).distinct()
+    close = close.join(offers.withColumnRenamed("folder", "other"), ["repo", "target", "other"]).select(*place, "group", "id", "worth")
+    return close if found is None else close.unionByName(found)
 
 
 def _offers(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The five smallest ids per key and kind group; no other can reach a result."""
-    order = Window.partitionBy(*keys, "group").orderBy("id")
-    ranked = candidates.withColumn("_rn", F.row_number().over(order))
-    return ranked.filter(F.col("_rn") <= MAX_CANDIDATES).select(*keys, "group", "id")
+    return top_per(candidates.select(*keys, "group", "id"), [*keys, "group"], [F.asc("id")], MAX_CANDIDATES)
 
 
 def _four_places(value: Column) -> Column:
@@ -96,12 +105,11 @@ def resolve_targets(relations: DataFrame, candidates: DataFrame) -> DataFrame:
     id, name, kind, path``. A candidate scores 0.35, plus 0.35 in the same file, 0.20 in the
     same folder or 0.03 per shared folder name (at most 0.12), plus 0.08 when its kind fits.
 
-    Closeness is turned into equality: a folder and every set of up to four folder names are
-    keys, and two paths share a key exactly when they are at least that close. Per (name,
-    key, kind group) only the five smallest ids can matter, so a name defined a million times
-    shrinks to a few rows per key before it meets its relations. Folders are settled once for
-    all of their files, then joined by the candidates of the file itself. The result equals
-    ranking all pairs.
+    Only the five smallest ids of a kind group can matter in a folder, under a set of folder names,
+    or of a name at all, so a name defined a million times shrinks to a few rows per folder
+    before it meets its relations, and folders meet in lists by the names they share (see
+    ``_shared``). Folders are settled once for all of their files, then joined by the candidates
+    of the file itself. The result equals ranking all pairs.
     """
     kind = F.col("kind")
     group = F.when(kind.isin(*CALLABLE_KINDS), "callable").when(kind.isin(*TYPE_KINDS), "type").otherwise("other")
@@ -110,20 +118,21 @@ def resolve_targets(relations: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     fit = F.when(kind == "calls", "callable").when(kind.isin("inherits", "implements"), "type").otherwise("none")
     asks = relations.select("repo", "path", "target", fit.alias("fit"), directory(F.col("path")).alias("folder"))
-    folder_key = ["repo", "target", "key"]
-    near = _offers(
-        known.select("repo", "target", "id", "group", F.explode(_folder_keys(F.col("path"))["key"]).alias("key")), folder_key
-    )
-    folders = asks.select("repo", "folder", "target", "fit").distinct()
-    sought = folders.select(
-        "*", F.explode(_folder_keys(F.concat("folder", F.lit("/x")))).alias("k")
-    ).select("repo", "folder", "target", "fit", "k.key", "k.worth", "k.reason")
-    by_folder = _top(sought, near, folder_key, ["repo", "folder", "target", "fit"])
+    folder_key = ["repo", "target", "folder"]
+    offers = durable(_offers(known.withColumn("folder", directory(F.col("path"))), folder_key))
+    folders = durable(asks.select("repo", "folder", "target", "fit").distinct())
+    shared = _shared(folders.select(*folder_key).distinct(), offers.select(*folder_key).distinct(), offers)
+    rows = ["repo", "folder", "target", "fit", "group", "id"]
+    same = folders.join(offers, folder_key).select(*rows, F.lit(0.20).alias("worth"), F.lit("same_directory").alias("reason"))
+    some = folders.join(shared, folder_key).select(*rows, "worth", F.lit("shared_package_path").alias("reason"))
+    anywhere = folders.join(_offers(known, ["repo", "target"]), ["repo", "target"])
+    anywhere = anywhere.select(*rows, F.lit(0.0).alias("worth"), F.lit("").alias("reason"))
+    by_folder = _best(same.unionByName(some).unionByName(anywhere), ["repo", "folder", "target", "fit"])
     own = asks.select("repo", "path", "target", "fit").distinct().withColumns(
         {"worth": F.lit(0.35), "reason": F.lit("same_file")}
     )
     file_key = ["repo", "path", "target"]
-    by_file = _top(own, _offers(known, file_key), file_key, [*file_key, "fit"]).withColumnRenamed("top", "mine")
+    by_file = _best(own.join(_offers(known, file_key), file_key), [*file_key, "fit"]).withColumnRenamed("top", "mine")
     placed = relations.withColumns({"fit": fit, "folder": directory(F.col("path"))})
     joined = placed.join(by_folder, ["repo", "folder", "target", "fit"], "left").join(
         by_file, [*file_key, "fit"], "left"

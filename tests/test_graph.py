@@ -91,6 +91,52 @@ def test_resolution_prefers_nearby_symbol(spark):
     assert got["os"].target_id == "module:os" and got["zzz"].target_id == "reference:zzz"
 
 
+def ranked_candidates(relation, candidates):
+    """Every candidate of the name, scored one by one."""
+    _, path, kind, target = relation
+    out = []
+    for _, ident, name, k, other in candidates:
+        if name != target or other is None:
+            continue
+        mine, theirs = path.split("/")[:-1], other.split("/")[:-1]
+        near = 0.35 if path == other else 0.2 if mine == theirs else min(0.12, 0.03 * len(set(mine) & set(theirs)))
+        fit = kind == "calls" and k in resolution.CALLABLE_KINDS or kind in ("inherits", "implements") and k in resolution.TYPE_KINDS
+        out.append((-round(0.35 + near + (0.08 if fit else 0), 6), ident))
+    return [(ident, round(-neg, 4)) for neg, ident in sorted(out)[:5]]
+
+
+@pytest.mark.parametrize("seed, limit", [(1, 64), (2, 2), (3, 1), (4, 0)])
+def test_resolution_equals_ranking_all_candidates(spark, monkeypatch, seed, limit):
+    """Short lists compared, and crowded ones split down to four names."""
+    monkeypatch.setattr(resolution, "LIST", limit)
+    rng = random.Random(seed)
+
+    def path():
+        return "/".join(["src", *rng.choices("abcdefg", k=rng.randint(0, 6)), f"f{rng.randint(0, 3)}.py"])
+
+    candidates = [("m", f"s{i:03}", rng.choice("xy"), rng.choice(["class", "function", "type"]), path()) for i in range(150)]
+    candidates += [("m", "none", "x", "class", None), ("m", "top", "x", "class", "f0.py"), ("n", "other", "x", "class", "src/a/f0.py")]
+    relations = list({("m", path(), rng.choice(["calls", "inherits", "imports"]), rng.choice("xyz")) for _ in range(40)})
+    relations += [("m", "f9.py", "calls", "x")]
+    got = resolution.resolve_targets(
+        spark.createDataFrame(relations, "repo string, path string, kind string, target string"),
+        spark.createDataFrame(candidates, "repo string, id string, name string, kind string, path string"),
+    ).collect()
+    own = [c for c in candidates if c[0] == "m"]
+    assert {(r.path, r.kind, r.target): [(c.id, c.score) for c in r.candidates or []] for r in got} == {
+        r[1:]: ranked_candidates(r, own) for r in relations
+    }
+
+
+def test_a_deep_path_has_a_list_for_each_folder(spark):
+    deep = "/".join(f"d{i}" for i in range(20))
+    places = spark.createDataFrame([("m", "x", deep)], "repo string, target string, folder string")
+    sizes = spark.createDataFrame([("m", "x", f"d{i}", i) for i in range(20)], "repo string, target string, name string, n long")
+    lists = resolution._lists(places, sizes)
+    assert lists.count() == 20
+    assert resolution._further(lists.filter("key = '/d19'")).count() == 0
+
+
 def test_drift_reports_new_direction(spark):
     base_nodes = [("a", "file", "a", "src/domain/a.py", None), ("b", "file", "b", "src/application/b.py", None)]
     base_edges = [("b", "a", "imports")]
