@@ -20,7 +20,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["token_count", "evidence_fuse", "impact_report", "co_change", "budget_fit", "live_telemetry"])
+@pytest.mark.parametrize("name", ["token_count", "evidence_fuse", "impact_report", "co_change", "budget_fit", "live_telemetry", "live_traces", "alert_stream", "resolve_targets"])
 def test_sample_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
