@@ -223,7 +223,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = SEQUENCE
     Documents of more than ``size`` tokens are cut, the first piece holding what is left over;
     full pieces are sequences of their own. Null and empty texts are a single end id. Null
     doc_id stays null; repeated rows are packed each; an empty table gives no piece; other
-    columns are not read. The ids are staged and never shuffled here.
+    columns are not read. A very long text is encoded part by part and its ids are held together by
+    one worker. The ids are staged; they are shuffled with their places only for a caller that selects them.
     """
     pieces = stage(tokenized_pieces(docs, vocabulary, end_id, size).withColumn("key", F.monotonically_increasing_id()), "pieces")
     places = place(pieces.where(F.col("length") < size).select("key", "length"), size)

@@ -16,6 +16,7 @@ SPACES = {"word_bpe_49k.json": "dropped", "byte_bpe_50k.json": "leading"}
 
 #: A word of Latin letters, and one with the punctuation after it, which both vocabularies cut apart.
 WORD = " ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+IS_WORD = re.compile(WORD).fullmatch
 SIMPLE = f"^(?P<word>{WORD})(?P<marks>[!-/:-@\\[-^`{{-~]*)\\z"
 #: White space beside a space or a line end is one token with it; rarer white space is looked for by itself.
 BESIDE = ["  ", " \n", "\n ", "\n\n"]
@@ -59,11 +60,15 @@ class Encoder:
         simple = pc.extract_regex(pieces.dictionary, SIMPLE)
         first = pc.coalesce(pc.struct_field(simple, "word"), pieces.dictionary).dictionary_encode()
         second = pc.coalesce(pc.struct_field(simple, "marks"), pa.scalar("", pa.large_string())).dictionary_encode()
-        parts = first.dictionary.to_pylist() + second.dictionary.to_pylist()
+        # An array of objects makes its strings at once, a list of scalars one by one.
+        parts = [x for d in (first, second) for x in d.dictionary.to_numpy(zero_copy_only=False)]
         if len(self.words) > WORDS:
             self.words.clear()
-        self._learn(list(dict.fromkeys(x for x in parts if x not in self.words)))
-        held = [self.words[x] for x in parts]
+        held = list(map(self.words.get, parts))
+        missing = [x for x, ids in zip(parts, held, strict=True) if ids is None]
+        if missing:
+            self._learn(list(dict.fromkeys(missing)))
+            held = list(map(self.words.__getitem__, parts))
         ids = np.frombuffer(b"".join(held), "<u4")
         sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
         number = pieces.indices.to_numpy()
@@ -99,7 +104,7 @@ class Encoder:
         return text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK)
 
     def _learn(self, missing: list[str]) -> None:
-        words = [x for x in missing if re.fullmatch(WORD, x)]
+        words = list(filter(IS_WORD, missing))
         self._learn_words([w for w in words if w[0] == " "], "", 1)
         # Words without a space before them: one for each line, or for dropped spaces.
         self._learn_words([w for w in words if w[0] != " "], *(("\n", 2) if self.spaces == "leading" else (" ", 1)))
@@ -116,7 +121,7 @@ class Encoder:
             starts = np.flatnonzero(np.diff(number, prepend=-1))
             if len(starts) == step * len(group) - step + 1:
                 data, at = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-                self.words.update((w, data[at[step * i] : at[step * i + 1]]) for i, w in enumerate(group))
+                self.words.update(zip(group, map(data.__getitem__, map(slice, at[:-1:step], at[1::step])), strict=True))
             else:
                 alone = self.tokenizer.encode_batch(group, add_special_tokens=False)
                 self.words.update((w, _packed(e.ids)) for w, e in zip(group, alone, strict=True))
