@@ -51,6 +51,18 @@ def _scan_only(plan) -> bool:
     return all(_scan_only(children.apply(i)) for i in range(children.size()))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The frame itself if it is a plain file scan, else as staged, so that every pass names its rows alike."""
+    return docs if _scan_only(docs._jdf.queryExecution().analyzed()) and _in_files(docs) else stage(docs, "rows")
+
+
+def _in_files(docs: DataFrame) -> bool:
+    try:
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def located(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns asked for with ``FILE`` and ``ROW``, which no two rows share.
 

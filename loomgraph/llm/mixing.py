@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, filled
+from loomgraph.llm.common import WORD, filled, stage
 
 #: Sources in code point order weigh these, repeating; the mix takes this share of all words.
 WEIGHTS = (5, 2, 1)
@@ -64,12 +64,20 @@ def draw(seed: int) -> F.Column:
 ADDED = ("size", "source_size", "target", "copies")
 
 
+#: Bytes of targets, 32 a source besides its name, that are broadcast.
+TARGET_BYTES = 8 << 20
+
+
 def _planned(docs: DataFrame, seed: int, targets: dict) -> DataFrame:
     """``docs`` with the columns of ``ADDED``, their names behind two underscores."""
     sized = docs.withColumn("__size", F.regexp_count(filled("text"), F.lit(WORD)).cast("long"))
     totals = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
     plan = source_targets(totals, **targets)
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target")])
+    plan = stage(plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target")]), "targets")
+    # Texts stay where they are while the targets are small.
+    size = plan.agg(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 32)).first()[0] or 0
+    if size <= TARGET_BYTES:
+        plan = F.broadcast(plan)
     joined = sized.join(plan, sized["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
@@ -82,10 +90,11 @@ def mix(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
     A document is taken floor(rate) times, rate being target over size of its source, and once
     more if its draw falls below the fraction; so none is taken more than ``MOST`` times, its
     source's words come near the target, and reruns agree. Null and empty texts have size 0; a
-    source without words has target 0 and rate 0. Null sources form one source, the last.
+    source without words has target 0 and rate 0. Null sources form one source, the last. A very
+    long text is counted in place. Targets come from one running sum over the sources, one row each.
     Repeated rows draw alike; an empty table gives none. Columns of ``docs`` with the added
     names are replaced. Sizes are summed on the map side; a source with a third of all rows
-    meets its one target row in a join that Spark broadcasts or splits.
+    meets its one target row by broadcast; above ``TARGET_BYTES`` of them, in a join that Spark splits.
     """
     planned = _planned(docs, seed, targets).drop(*ADDED)
     return planned.withColumnsRenamed({f"__{c}": c for c in ADDED})

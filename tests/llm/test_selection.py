@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -91,6 +92,13 @@ def test_mixing(docs, rows, no_docs):
     assert mixing.mix(no_docs).collect() == [] and mixing.emit(no_docs).collect() == []
 
 
+def test_targets_that_are_not_broadcast(docs, monkeypatch):
+    plain = lambda frame: sorted(map(repr, frame.select("doc_id", "text", "copies", "target").collect()))
+    few = plain(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "TARGET_BYTES", -1)
+    assert plain(mixing.mix(docs)) == few
+
+
 def test_mixing_comes_near_its_targets(spark):
     frame = spark.range(20_000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 9 as int)) as text", "concat('s', id % 4) as source")
     found = mixing.mix(frame).selectExpr("*", "size * copies as taken").groupBy("source", "target").sum("taken").collect()
@@ -175,6 +183,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == counts[5]
 
 
+def test_pipeline_stages_on_frames_that_are_no_files(spark):
+    """Both passes of a stage meet the same rows, whatever the frame is made of."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (2, text), (3, text + " more"), (4, None), (5, ""), (6, "else"), (6, "else"), (None, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("x"))
+    exact = corpus_pipeline.drop_copies(spark, frame, DATA)
+    assert sorted((r["doc_id"] or 0) for r in exact.collect()) == [0, 1, 3, 4, 6] and exact.columns == frame.columns
+    near = corpus_pipeline.drop_near_copies(spark, exact.union(frame.where("doc_id = 2")), DATA)
+    assert sorted((r["doc_id"] or 0) for r in near.collect()) == [0, 1, 4, 6] and near.columns == frame.columns
+    for step in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert step(spark, frame.where("doc_id > 99"), DATA).collect() == []
+
+
 @here
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
@@ -196,4 +217,4 @@ def test_queries_match_their_sql(spark, name):
 @here
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
