@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import SLICE_TERM, token_count, truncate_tokens
 from loomgraph.operators.extract import source_lines
 from loomgraph.operators.scans import asof, prefix, segment_of
+from loomgraph.session import durable, large
 
 CONTEXT_LINES = 2
 
@@ -49,8 +50,8 @@ def slice_symbols(requests: DataFrame, files: DataFrame, units: DataFrame, max_t
     unit = F.when(F.col("line").isNull(), F.col("_above")).otherwise(F.coalesce(nearest, F.col("_above")))
     chosen = above.withColumn("_unit", unit)
     following = _next_lines(units).select("repo", "path", F.col("line").alias("_ul"), "_next")
-    chosen = chosen.withColumn("_ul", F.col("_unit.line")).join(following, ["repo", "path", "_ul"], "left")
-    text = chosen.join(files.select("repo", "path", source_lines(F.col("content")).alias("_lines")), ["repo", "path"])
+    chosen = chosen.withColumn("_ul", F.col("_unit.line")).join(large(following), ["repo", "path", "_ul"], "left")
+    text = chosen.join(large(files.select("repo", "path", source_lines(F.col("content")).alias("_lines"))), ["repo", "path"])
     total = F.size("_lines")
     start = F.greatest(F.lit(0), F.col("_ul") - 1 - CONTEXT_LINES)
     open_end = F.when(F.col("_next").isNotNull(), F.col("_next") - 1).otherwise(F.least(total, F.col("_ul") + 80))
@@ -69,8 +70,10 @@ def slice_queries(queries: DataFrame, files: DataFrame, units: DataFrame, max_to
 
     ``queries``: ``query_id, repo, path, query``. A declaration scores 4 per term equal to its
     name and 1 per term it references; the budget is shared evenly, at least 64 tokens each.
-    Declarations meet questions through their words, so no pair without a hit is formed.
+    Declarations meet questions through their words, so no pair without a hit is formed. Units are
+    kept, because every lookup would parse all files again.
     """
+    units = large(durable(units))
     terms = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(SLICE_TERM), F.lit(0)))
     wanted = queries.select("query_id", "repo", "path", F.explode(terms).alias("term"))
     own = F.struct(F.lower("name").alias("term"), F.lit(4).alias("w"))
@@ -82,7 +85,7 @@ def slice_queries(queries: DataFrame, files: DataFrame, units: DataFrame, max_to
         "repo", "path", "name", "line", "end_line", "container", F.explode(F.concat(F.array(own), refs)).alias("t")
     ).select("repo", "path", "name", "line", "end_line", "container", "t.term", "t.w")
     scored = (
-        words.join(wanted, ["repo", "path", "term"])
+        words.join(large(wanted), ["repo", "path", "term"])
         .groupBy("query_id", "repo", "path", "name", "line", "end_line", "container")
         .agg(F.sum("w").alias("score"))
     )
@@ -90,7 +93,7 @@ def slice_queries(queries: DataFrame, files: DataFrame, units: DataFrame, max_to
     top = scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max(1, limit))
     count = top.groupBy("query_id", "repo", "path").agg(F.count("*").alias("_n"))
     share = F.greatest(F.lit(64), F.floor(F.lit(max_tokens) / F.greatest("_n", F.lit(1))).cast("int"))
-    asked = top.join(count, ["query_id", "repo", "path"]).select(
+    asked = top.join(large(count), ["query_id", "repo", "path"]).select(
         "query_id", "position", "repo", "path", F.col("name").alias("symbol"), "line", "container", share.alias("share")
     )
     cut = slice_symbols(asked, files, units, "share").filter("content <> ''")
