@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.text import FEATURE_TOKEN, hybrid_terms
 
+#: Feature codes a worker remembers at once.
+KNOWN_CODES = 1 << 16
 #: Query vectors shipped to tasks at once; more are matched block by block.
 INLINE_QUERIES = 1024
 MAX_RELATIONS = 20
@@ -22,7 +25,8 @@ MAX_RELATIONS = 20
 def feature_hash(dimensions: int = 384):
     """Arrow UDF ``text -> array<double>``: hashed words and word pairs, L2-normalised.
 
-    One narrow pass over the texts: no token is ever shuffled.
+    One narrow pass over the texts: no token is ever shuffled. Codes are remembered up to
+    ``KNOWN_CODES``; most word pairs come once, and those of a whole batch would take gigabytes.
     """
     if dimensions < 64:
         raise ValueError("dimensions must be >= 64")
@@ -35,14 +39,16 @@ def feature_hash(dimensions: int = 384):
         def code(feature: str) -> int:
             value = known.get(feature)
             if value is None:
+                if len(known) >= KNOWN_CODES:
+                    known.clear()
                 digest = hashlib.blake2b(feature.encode("utf-8"), digest_size=8).digest()
                 value = known[feature] = int.from_bytes(digest, "little")
             return value
 
         def one(text: str | None) -> np.ndarray:
             words = [w.lower() for w in token.findall(text or "")]
-            pairs = [f"{a}::{b}" for a, b in zip(words, words[1:], strict=False)]
-            raw = np.array([code(f) for f in words + pairs], dtype=np.uint64)
+            pairs = (f"{a}::{b}" for a, b in pairwise(words))
+            raw = np.fromiter(map(code, chain(words, pairs)), np.uint64)
             signs = np.where(raw & np.uint64(1), -1.0, 1.0)
             vector = np.bincount((raw % np.uint64(dimensions)).astype(np.int64), signs, dimensions)
             return vector / (np.sqrt((vector * vector).sum()) or 1.0)

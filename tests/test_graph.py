@@ -1,8 +1,10 @@
 """Impact, resolution, drift, federation, co-change and path search on small graphs."""
 
 import random
+import tracemalloc
 from collections import Counter, deque
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,3 +379,17 @@ def test_feature_hash_golden(spark):
     df = spark.createDataFrame([(text,), ("",)], "t string").select(retrieval.feature_hash(64)("t").alias("v"))
     got = [r.v for r in df.collect()]
     assert got[0] == pytest.approx([v / norm for v in want]) and got[1] == [0.0] * 64
+
+
+def test_feature_hash_memory_does_not_grow_with_the_batch():
+    """Nearly every word pair comes once, so remembering all of a batch takes as much as the batch has words."""
+    rng = random.Random(4)
+    texts = pd.Series([" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(400)])
+    embed = retrieval.feature_hash(64).func
+    first = embed(texts[:3])
+    tracemalloc.start()
+    whole = embed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert all((a == b).all() for a, b in zip(first, whole, strict=False))
