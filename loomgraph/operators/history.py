@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.scans import overlapping, prefix, segment_of, top_per
-from loomgraph.session import durable
+from loomgraph.session import durable, large
 
 #: Commits touching more files than this are counted by file groups, not by file pairs.
 WIDE_COMMIT = 64
@@ -201,7 +201,7 @@ def symbol_ranges(units: DataFrame, totals: DataFrame) -> DataFrame:
     lines = units.groupBy(*key, "line").agg(F.max("name").alias("_last"))
     lines = lines.withColumn("_rev", -F.col("line")).withColumn("_seg", segment_of(F.col("_rev"), 1024))
     spaced = prefix(lines, key, ["_rev"], "_seg", {"_next": ("last", F.col("line"))}, inclusive=False)
-    placed = units.join(spaced.select(*key, "line", "_last", "_next"), [*key, "line"]).join(totals, key, "left")
+    placed = units.join(large(spaced.select(*key, "line", "_last", "_next")), [*key, "line"]).join(large(totals), key, "left")
     after = F.when(F.col("name") < F.col("_last"), F.col("line")).otherwise(
         F.coalesce("_next", F.coalesce("lines", F.lit(1)) + 1)
     )
@@ -215,10 +215,10 @@ def changed_symbols(symbols: DataFrame, files: DataFrame, hunks: DataFrame, keys
 
     ``symbols``: ``keys, line, end``; ``files``: changed files; ``hunks``: ``keys, start, end``.
     """
-    inside = symbols.join(files.select(*keys).distinct(), keys, "left_semi")
+    inside = large(symbols).join(files.select(*keys).distinct(), keys, "left_semi")
     real = hunks.filter("start is not null").select(*keys, F.col("start").alias("_hs"), F.col("end").alias("_he"))
     hit = overlapping(inside, real, keys, "line", "end", "_hs", "_he")
-    whole = inside.join(real.select(*keys).distinct(), keys, "left_anti")
+    whole = large(inside).join(real.select(*keys).distinct(), keys, "left_anti")
     return hit.unionByName(whole)
 
 

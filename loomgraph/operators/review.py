@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import NON_SYMBOL_KINDS, impact, impact_report
 from loomgraph.operators.history import changed_symbols, pr_risk, symbol_ranges
-from loomgraph.session import durable
+from loomgraph.session import durable, large
 
 
 def review(
@@ -22,15 +22,15 @@ def review(
     """
     symbols = nodes.filter(~F.col("kind").isin(*NON_SYMBOL_KINDS) & F.col("path").isNotNull() & F.col("line").isNotNull())
     ranged = symbol_ranges(symbols, totals).select("repo", "path", "id", "name", "line", "end")
-    per_change = ranged.join(changes.select("pr", "repo", "path").distinct(), ["repo", "path"])
-    touched = durable(changed_symbols(per_change, changes, hunks, ["pr", "repo", "path"]))
+    per_change = large(ranged).join(changes.select("pr", "repo", "path").distinct(), ["repo", "path"])
+    touched = large(durable(changed_symbols(per_change, changes, hunks, ["pr", "repo", "path"])))
     scoped = F.concat_ws("\u0000", "repo", "id")
-    graph_nodes = nodes.withColumn("id", scoped)
-    graph_edges = edges.withColumns(
+    graph_nodes = large(nodes.withColumn("id", scoped))
+    graph_edges = large(edges.withColumns(
         {c: F.concat_ws("\u0000", "repo", c) for c in ("source", "target")}
-    )
+    ))
     keyed = touched.withColumn("id", scoped)
-    items = durable(impact(graph_nodes, graph_edges, keyed.select("id").distinct()))
+    items = large(durable(impact(graph_nodes, graph_edges, keyed.select("id").distinct())))
     scores = impact_report(items).select(
         F.col("target").alias("id"),
         F.col("risk_score").alias("impact_risk"),
