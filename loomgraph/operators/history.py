@@ -44,9 +44,18 @@ def _histories(broad: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """``ga, gb, common``: commits that two groups share, for the pairs asked for."""
-    first = pairs.join(member.select(F.col("group").alias("ga"), "sha"), "ga")
-    return first.join(member.select(F.col("group").alias("gb"), "sha"), ["gb", "sha"]).groupBy("ga", "gb").agg(F.count("*").alias("common"))
+    """``ga, gb, common``: commits that two groups share, for the pairs ``ga < gb`` asked for.
+
+    A commit of at most ``WIDE_COMMIT`` files counts its own pairs, so a membership costs a bounded
+    number of rows, however long the histories are. Wider commits are looked up pair by pair.
+    """
+    few = member.filter(F.col("_files") <= WIDE_COMMIT)
+    met = few.select("sha", F.col("group").alias("ga")).join(few.select("sha", F.col("group").alias("gb")), "sha").filter("ga < gb")
+    met = met.groupBy("ga", "gb").agg(F.count("*").alias("common")).join(pairs.select("ga", "gb"), ["ga", "gb"], "left_semi")
+    many = member.filter(F.col("_files") > WIDE_COMMIT)
+    first = pairs.join(many.select(F.col("group").alias("ga"), "sha"), "ga")
+    found = first.join(many.select(F.col("group").alias("gb"), "sha"), ["gb", "sha"]).groupBy("ga", "gb").agg(F.count("*").alias("common"))
+    return met.unionByName(found).groupBy("ga", "gb").agg(F.sum("common").alias("common"))
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:

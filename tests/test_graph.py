@@ -282,6 +282,23 @@ def test_co_change_of_wide_commits(spark, monkeypatch, seed):
     assert got == pair_counts(commits, 7)
 
 
+def test_overlaps_of_commits_on_both_sides_of_the_limit(spark, monkeypatch):
+    """Commits of few files count their own pairs, those of many are looked up; only the pairs asked for are given."""
+    monkeypatch.setattr(history, "WIDE_COMMIT", 6)
+    rng = random.Random(3)
+    commits = {f"c{i}": rng.sample([f"g{j:02}" for j in range(12)], rng.choice([2, 4, 6, 7, 11])) for i in range(40)}
+    counts = {(a, b): c for a, b, c in pair_counts(commits, 1000)}
+    asked = sorted(counts)[::3] + [("g00", "zz")]
+    rows = [(s, len(gs), g, 1, g) for s, gs in commits.items() for g in gs]
+    member = spark.createDataFrame(rows, "sha string, _files long, group string, touched long, path string")
+    found = history._overlaps(spark.createDataFrame(asked, "ga string, gb string"), member)
+    assert {(r.ga, r.gb): r.common for r in found.collect()} == {p: counts[p] for p in asked[:-1]}
+    # No pair is joined with a history where all commits are of few files.
+    few = history._overlaps(spark.createDataFrame(asked, "ga string, gb string"), member.filter("_files <= 6"))
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
+
+
 def test_a_giant_commit_is_not_expanded(spark):
     """All files meet in one commit and have each another one of their own: two giant ones would make 10^10 pairs."""
     n = 100_000
