@@ -213,6 +213,25 @@ def test_near_copies_equal_all_pairs(spark, tmp_path, monkeypatch, wider, common
     assert jaccard.near_copies(docs.where("false")).collect() == []
 
 
+def test_long_texts_that_share_a_line_are_no_pairs(spark, monkeypatch):
+    """The sketch of an entry is wide enough to tell them apart, so pairs do not grow with the square of a bucket."""
+    draw = random.Random(4)
+    line = " ".join(f"line{i}" for i in range(24))
+    rows = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(700)) + " " + line) for i in range(12)]
+    made, stage_at = {}, jaccard.stage_at
+
+    def counted(frame, label):
+        out = stage_at(frame, label)
+        made[label] = made.get(label, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage_at", counted)
+    monkeypatch.setattr(jaccard, "COMMON", 1)
+    found = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["kept"] for r in found) and len(found) == 12
+    assert made["pairs"] == 0
+
+
 def test_near_copies_of_repeated_rows(docs, rows):
     found = jaccard.near_copies(docs).collect()
     want = brute_near_copies([(i, t) for i, (_, t, _) in enumerate(rows)])
