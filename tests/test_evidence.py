@@ -169,3 +169,25 @@ def test_ambiguous_position_is_not_exact(spark):
         row = precise.caret_evidence(carets, occ, info, docs, lines).first()
         assert (row.trust, row.confidence) == want
         assert (row.start_line, row.start_column, row.symbol) == (1, 5, "S")
+
+
+def test_definitions_are_described_before_carets_multiply_them(spark):
+    """The join of carets and definitions is the last one, so lines and documents are read once a definition."""
+    occ = spark.createDataFrame(
+        [("m", f"f{i}", "x p k 1 S#", 0, 6, 0, 7, 1) for i in range(3)] + [("m", "f0", "x p k 1 S#", 1, 0, 1, 1, 8)],
+        "repo string, path string, symbol string, start_line int, start_col int, end_line int, end_col int, roles int",
+    )
+    info = spark.createDataFrame(
+        [], "repo string, path string, symbol string, relationships array<struct<symbol:string,is_implementation:boolean>>"
+    )
+    lines = spark.createDataFrame([("m", f"f{i}", 0, "é é S") for i in (0, 1)] + [("m", "f0", 1, "S()")], "repo string, path string, line int, text string")
+    carets = spark.createDataFrame([(i, "m", "f0", 2, 1) for i in range(50)], "caret_id int, repo string, path string, line int, column int")
+    docs = spark.createDataFrame([("m", f"f{i}", "utf8", True, i == 1) for i in range(3)], "repo string, path string, encoding string, authoritative boolean, stale boolean")
+    found = precise.caret_evidence(carets, occ, info, docs, lines)
+    got = sorted((r.caret_id, r.path, r.start_column, r.end_column, r.trust, r.confidence, r.symbol, r.target_symbol) for r in found.collect())
+    one = [("f0", 5, 6, "exact", 1.0), ("f1", 5, 6, "inferred_high", 0.55), ("f2", 7, 8, "inferred_high", 0.8)]
+    assert got == [(i, *row, "S", "x p k 1 S#") for i in range(50) for row in one]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "_key" in plan.condition().get().toString()
