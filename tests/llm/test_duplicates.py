@@ -236,3 +236,28 @@ def test_near_copies_of_repeated_rows(docs, rows):
     found = jaccard.near_copies(docs).collect()
     want = brute_near_copies([(i, t) for i, (_, t, _) in enumerate(rows)])
     assert len(found) == len(rows) and sum(r["kept"] for r in found) == len(set(want.values()))
+
+
+def test_near_copies_come_by_fingerprints_first(spark, tmp_path, monkeypatch):
+    """The pipeline's stage hands the links of fingerprints to the exact check, which spares what they join."""
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(30)] + [(i, f"other{i} text{i}") for i in range(30, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked, verified, near_duplicates = [], [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: asked.append(1) or near_duplicates(*a))
+    check = jaccard._verified
+
+    def counted(pairs, *rest):
+        verified.append(pairs.distinct().count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(30, 40)]
+    assert len(asked) == 1 and verified[0] >= 20 and sum(verified[1:]) < verified[0]
+    # A wrong link does not pass the check.
+    judged = located(docs, "doc_id").withColumn("component_id", F.lit(0).cast("long"))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs, judged).collect()}
+    assert found == {i: 0 if i < 30 else i for i in range(40)}
