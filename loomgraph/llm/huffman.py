@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hand_back, slices, stage
+from loomgraph.llm.common import batches_of, hand_back, slices, stage
 from loomgraph.llm.files import write_file
 from loomgraph.llm.tokens import ROWS, encode_all, encoder
 from loomgraph.session import shared_path
 
 #: Longest code in bits: above the 16 that any 65,536 ids need, and the decoding table stays small.
 LIMIT = 20
+#: Bits for the length of a code, beside its id in the decoding table.
+SIZE_BITS = 5
 #: Ids of a block, and between two of its checkpoints.
 BLOCK, STEP = 1 << 16, 256
 #: Ids of a file. A file is built in one task's memory.
@@ -83,7 +85,7 @@ def decode_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, n
 
 def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     """Head, bit offsets of every ``STEP``-th id, and the bits, filled up to a whole byte."""
-    sizes = lengths[ids].astype(np.int64)
+    sizes = lengths.astype(np.int64)[ids]
     ends = np.cumsum(sizes)
     starts = ends - sizes
     total = int(ends[-1]) if len(ids) else 0
@@ -108,7 +110,8 @@ class Reader:
             raise ValueError("not a file of coded ids")
         self.data = data
         lengths = np.frombuffer(zlib.decompress(data[struct.calcsize(HEAD) : struct.calcsize(HEAD) + table]), np.uint8)
-        self.ids, self.sizes = decode_table(lengths)
+        ids, sizes = decode_table(lengths)
+        self.table = ids << np.uint32(SIZE_BITS) | sizes
         rows = np.frombuffer(zlib.decompress(data[footer:]), "<i8")
         self.doc_ids, self.n_tokens = rows[: self.n_docs], rows[self.n_docs : 2 * self.n_docs]
         tail = rows[2 * self.n_docs :]
@@ -121,7 +124,10 @@ class Reader:
         return self._decode(self.blocks.tolist()) if len(self.blocks) else np.zeros(0, np.uint32)
 
     def _decode(self, blocks: list[int]) -> np.ndarray:
-        """Every checkpoint starts a lane; all lanes take one table step at a time."""
+        """Every checkpoint starts a lane; all lanes take as many table steps at a time as 64 bits surely hold.
+
+        A lane with fewer ids reads on behind its end, into other codes or zeros; that is cut off.
+        """
         at, left = [], []
         for start in blocks:
             n, _ = struct.unpack_from(BLOCK_HEAD, self.data, start)
@@ -131,21 +137,20 @@ class Reader:
             sizes = np.full(lanes, STEP)
             sizes[-1] = n - STEP * (lanes - 1)
             left.append(sizes)
-        place, left = np.concatenate(at), np.concatenate(left)
-        raw = np.frombuffer(self.data + bytes(4), np.uint8)
-        out = np.zeros((len(place), STEP), np.uint32)
-        for step in range(STEP):
-            byte = place >> 3
-            window = (
-                (raw[byte].astype(np.uint32) << 24)
-                | (raw[byte + 1].astype(np.uint32) << 16)
-                | (raw[byte + 2].astype(np.uint32) << 8)
-                | raw[byte + 3]
-            )
-            key = (window << (place & 7).astype(np.uint32)) >> np.uint32(32 - LIMIT)
-            out[:, step] = self.ids[key]
-            place = np.where(left > step + 1, place + self.sizes[key], place)
-        return out[np.arange(STEP) < left[:, None]]
+        place, left = np.concatenate(at).astype(np.uint64), np.concatenate(left)
+        behind = STEP * LIMIT // 8 + 16
+        words = np.frombuffer(self.data + bytes(behind + -(len(self.data) + behind) % 8), ">u8").astype(np.uint64)
+        out = np.zeros((STEP, len(place)), np.uint32)
+        for step in range(0, STEP, 64 // LIMIT):
+            word, bit = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+            window = words[word] << bit | words[word + 1] >> np.uint64(1) >> (np.uint64(63) - bit)
+            for found in out[step : step + 64 // LIMIT]:
+                np.take(self.table, (window >> np.uint64(64 - LIMIT)).astype(np.int64), out=found, mode="clip")
+                size = (found & np.uint32((1 << SIZE_BITS) - 1)).astype(np.uint64)
+                window <<= size
+                place += size
+        out >>= np.uint32(SIZE_BITS)
+        return out.T[np.arange(STEP) < left[:, None]]
 
 
 def _file(docs: list[tuple], ids: list[np.ndarray], table: bytes, codes: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -215,6 +220,13 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, ids_crc32 long")
 
 
+def _values(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """The numbers of all rows, one after the other, where Arrow holds them."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "<i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, ends[0])
+
+
 def id_counts(staged: DataFrame, size: int) -> np.ndarray:
     """How often every id occurs. One row per partition and id is shuffled, one per id collected."""
 
@@ -223,8 +235,7 @@ def id_counts(staged: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             data = batch.column("ids")
             if len(data):
-                raw = b"".join(x.as_py() for x in data)
-                total += np.bincount(np.frombuffer(raw, "<u2" if size <= 1 << 16 else "<u4"), minlength=size)
+                total += np.bincount(_values(data, "<u2" if size <= 1 << 16 else "<u4"), minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -247,7 +258,8 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | N
     """
     spark = docs.sparkSession
     size = max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1)
-    staged = stage(tokenized(docs, vocabulary, end_id), "ids")
+    with batches_of(spark, ROWS):
+        staged = stage(tokenized(docs, vocabulary, end_id), "ids")
     counts = id_counts(staged, size)
     lengths = code_lengths(counts)
     folder = folder or shared_path(spark, "coded")
@@ -276,14 +288,17 @@ def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
                 starts = ends - reader.n_tokens
                 for i in range(0, reader.n_docs, 1024):
                     span = slice(i, i + 1024)
-                    ids = [every[a:b].astype("<u4").tobytes() for a, b in zip(starts[span], ends[span], strict=True)]
+                    places = np.append(starts[i : i + 1], ends[span])
+                    held = every[places[0] : places[-1]].astype("<u4")
+                    lengths = pa.py_buffer((4 * (places - places[0])).astype("<i4"))
+                    ids = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, lengths, pa.py_buffer(held)])
                     yield pa.record_batch(
                         {
                             "name": pa.array([path.rpartition("/")[2]] * len(ids)),
                             "doc_id": pa.array(reader.doc_ids[span], pa.int64(), mask=~reader.has_id[span]),
                             "start": pa.array(starts[span], pa.int64()),
                             "n_tokens": pa.array(reader.n_tokens[span], pa.int64()),
-                            "ids": pa.array(ids, pa.binary()),
+                            "ids": ids,
                         }
                     )
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hand_back, slices, stage
+from loomgraph.llm.common import batches_of, hand_back, slices, stage
 from loomgraph.llm.tokens import ROWS, encode_all
 
 SEQUENCE = 1024
@@ -226,7 +226,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = SEQUENCE
     columns are not read. A very long text is encoded part by part and its ids are held together by
     one worker. The ids are staged; they are shuffled with their places only for a caller that selects them.
     """
-    pieces = stage(tokenized_pieces(docs, vocabulary, end_id, size).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    with batches_of(docs.sparkSession, ROWS):
+        pieces = stage(tokenized_pieces(docs, vocabulary, end_id, size).withColumn("key", F.monotonically_increasing_id()), "pieces")
     places = place(pieces.where(F.col("length") < size).select("key", "length"), size)
     short = pieces.where(F.col("length") < size).select(*_names(), "key").join(places, "key").drop("key")
     full = pieces.where(F.col("length") >= size).select(*_names(), F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

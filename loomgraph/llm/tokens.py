@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from collections.abc import Iterable
@@ -26,8 +27,8 @@ ALONE = re.compile(r"(?<=\S)(?= \S)")
 #: Stands between pieces of a text; a text that holds it is encoded whole.
 MARK = "\0"
 
-#: Words that a worker remembers, and words encoded in one call.
-WORDS = 300_000
+#: Words after which a worker begins to forget, and words encoded in one call.
+WORDS = 250_000
 TOGETHER = 256
 #: Rows whose ids are held at a time.
 ROWS = 512
@@ -38,17 +39,20 @@ class Encoder:
 
     Texts are cut only where no token can cross: at single spaces and line ends, and between a
     word of Latin letters and the punctuation after it. Arrow cuts and numbers the parts, so
-    Python meets each distinct one once a call, and the tokenizer each once per worker. The
-    cache is emptied when full, so memory is bounded. Unknown vocabularies are encoded text
-    by text.
+    Python meets each distinct one once a call, and the tokenizer each rarely more than once per
+    worker: of the cache, full at ``WORDS``, the words not met since it was last full are
+    forgotten, so memory is bounded and common words stay. Unknown vocabularies are encoded text by text.
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs a task a core; threads of the library's own would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces = SPACES.get(re.split(r"[/\\]", path)[-1])
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -62,27 +66,29 @@ class Encoder:
         second = pc.coalesce(pc.struct_field(simple, "marks"), pa.scalar("", pa.large_string())).dictionary_encode()
         # An array of objects makes its strings at once, a list of scalars one by one.
         parts = [x for d in (first, second) for x in d.dictionary.to_numpy(zero_copy_only=False)]
+        held = pa.array(self._held(parts), pa.large_binary())
+        both = [held.take(first.indices), held.take(pc.add(second.indices, len(first.dictionary)))]
+        every = pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary())).take(pieces.indices)
+        _, ends, data = every.buffers()
+        ids = memoryview(data or b"")
+        bounds = np.frombuffer(ends, "<i8")[cut.offsets.to_numpy()].tolist()
+        plain = zip(texts, bounds, bounds[1:], strict=False)
+        return [self._whole(t) if MARK in t and mark == MARK else bytes(ids[i:j]) for t, i, j in plain]
+
+    def _held(self, parts: list[str]) -> list[bytes]:
+        """Ids of every part, learned if they are not remembered."""
         if len(self.words) > WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         held = list(map(self.words.get, parts))
-        missing = [x for x, ids in zip(parts, held, strict=True) if ids is None]
+        missing = [i for i, ids in enumerate(held) if ids is None]
         if missing:
-            self._learn(list(dict.fromkeys(missing)))
-            held = list(map(self.words.__getitem__, parts))
-        ids = np.frombuffer(b"".join(held), "<u4")
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        number = pieces.indices.to_numpy()
-        order = np.empty(2 * len(number), np.int64)
-        order[::2] = first.indices.to_numpy()[number]
-        order[1::2] = second.indices.to_numpy()[number] + len(first.dictionary)
-        own = sizes[order]
-        ends = np.cumsum(own)
-        # Each part's ids lie together; shift a running count to where they begin.
-        begin = (np.cumsum(sizes) - sizes)[order] - (ends - own)
-        every = ids[np.repeat(begin, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.append(0, ends)[2 * cut.offsets.to_numpy()].tolist()
-        plain = zip(texts, bounds, bounds[1:], strict=False)
-        return [self._whole(t) if MARK in t and mark == MARK else every[i:j].tobytes() for t, i, j in plain]
+            new = list(dict.fromkeys(map(parts.__getitem__, missing)))
+            found = list(map(self.older.get, new))
+            self.words.update((x, ids) for x, ids in zip(new, found, strict=True) if ids is not None)
+            self._learn([x for x, ids in zip(new, found, strict=True) if ids is None])
+            for i in missing:
+                held[i] = self.words[parts[i]]
+        return held
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -104,11 +110,14 @@ class Encoder:
         return text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK)
 
     def _learn(self, missing: list[str]) -> None:
-        words = list(filter(IS_WORD, missing))
-        self._learn_words([w for w in words if w[0] == " "], "", 1)
+        leading: list[str] = []
+        words: list[str] = []
+        alone: list[str] = []
+        for x in missing:
+            (alone if not IS_WORD(x) else leading if x[0] == " " else words).append(x)
+        self._learn_words(leading, "", 1)
         # Words without a space before them: one for each line, or for dropped spaces.
-        self._learn_words([w for w in words if w[0] != " "], *(("\n", 2) if self.spaces == "leading" else (" ", 1)))
-        alone = [x for x in missing if x not in self.words]
+        self._learn_words(words, *(("\n", 2) if self.spaces == "leading" else (" ", 1)))
         encoded = self.tokenizer.encode_batch(alone, add_special_tokens=False)
         self.words.update((x, _packed(e.ids)) for x, e in zip(alone, encoded, strict=True))
 

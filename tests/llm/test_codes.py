@@ -27,6 +27,43 @@ def test_cached_encoding_is_exact(name):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", sorted(tokens.SPACES))
+def test_common_words_are_not_learned_again(name, monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 40)
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    learned = []
+    monkeypatch.setattr(encoder, "_learn", lambda missing, learn=encoder._learn: (learned.extend(missing), learn(missing)))
+    texts = [f"a common {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x{'uvw'[i // 100]}" for i in range(300)]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    for i in range(0, 300, 20):
+        want = [e.ids for e in whole.encode_batch(texts[i : i + 20], add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[i : i + 20])] == want
+        assert len(encoder.words) + len(encoder.older) <= 2 * (40 + 23)
+    assert len(learned) == len(set(learned)) > 300
+
+
+@pytest.mark.parametrize("name", sorted(tokens.SPACES))
+def test_empty_texts_have_the_end_id_only(name):
+    assert list(tokens.encode_all(public_tokenizers.path(name), ["", None], 2)) == [(2).to_bytes(4, "little")] * 2
+
+
+def test_texts_are_handed_over_in_small_batches(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def most(batches, rows):
+        for batch in batches:
+            seen.add(batch.num_rows > rows)
+            yield batch
+
+    monkeypatch.setattr(packing, "slices", most)
+    monkeypatch.setattr(huffman, "slices", most)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "'a b' as text")
+    assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 1500
+    assert huffman.read_ids(*huffman.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"))).count() == 1500
+    assert seen.value == 0 and spark.conf.get(name) == before
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=200))
 @settings(max_examples=60, deadline=None)
 def test_golomb_round_trip(values):
