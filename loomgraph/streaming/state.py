@@ -105,7 +105,11 @@ class KeyedStream(StatefulStream):
 
 
 class Remembering(StatefulProcessor):
-    """Base of processors with one state value a key; ``row`` makes an output row of values."""
+    """Base of processors with one state value a key; ``row`` makes an output row of values.
+
+    Every call on the state is a message to the JVM and back, so a key is not asked whether it has
+    a value: without one it gives none.
+    """
 
     schema: str
     names: str
@@ -134,7 +138,7 @@ class _MemoryMerge(Remembering):
     names = "namespace key value node_id updated_at tombstone clock applied ignored conflicts"
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()
         kept, clock = (held[:4], dict(held[4] or {})) if held else (None, {})
         applied, ignored, conflicts = held[5:] if held else (0, 0, 0)
         for row in sorted(rows, key=lambda r: r["seq"]):
@@ -179,7 +183,7 @@ class _RevisionCheck(Remembering):
     names = "namespace key seq accepted revision found"
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        revision = self.state.get()[0] if self.state.exists() else 0
+        revision = (self.state.get() or (0,))[0]
         for row in sorted(rows, key=lambda r: r["seq"]):
             accepted = row["expected"] is None or row["expected"] == revision
             revision += accepted
@@ -213,7 +217,7 @@ class _QuotaCheck(Remembering):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         calls = sorted((row["seq"], row["t"]) for row in rows)
-        carried = self.state.get()[0] if self.state.exists() else []
+        carried = (self.state.get() or ([],))[0]
         allowed, left = admit([t for _, t in calls], carried, self.limit, self.window)
         for (seq, t), passed in zip(calls, allowed, strict=True):
             yield self.row(*key, t, seq, passed)
@@ -223,8 +227,9 @@ class _QuotaCheck(Remembering):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Forget a principal whose window has emptied."""
-        if self.state.exists():
-            left = self.state.get()[0]
+        held = self.state.get()
+        if held:
+            left = held[0]
             if not left or left[-1] + self.window <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
                 self.state.clear()
         return iter(())
@@ -259,7 +264,7 @@ class _DigestCheck(Remembering):
     names = "id text path symbol digest version"
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        digest, version = self.state.get() if self.state.exists() else (None, 0)
+        digest, version = self.state.get() or (None, 0)
         # Of several rows in a batch the one with the greatest digest counts: any fixed choice will do.
         row = max(rows, key=lambda r: r["digest"])
         if row["digest"] != digest:

@@ -5,6 +5,7 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.session import shared_path
@@ -136,6 +137,34 @@ def test_semantic_refresh_embeds_changes_only(spark):
     assert got["18"] == (2, [12.0]) and got["0"] == (1, [6.0]) and got["20"] == (1, [None]) and len(got) == 21
 
 
+def test_a_document_takes_two_calls_on_the_state():
+    """One asks for its value, one sets it, if it changed; each is a message to the JVM and back."""
+
+    class Store:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    check = state._DigestCheck()
+    check.state = Store()
+    row = Row(text="t", path="p", symbol="s", digest="d")
+    assert [r.version for r in check.handleInputRows(("1",), iter([row]), None)] == [1]
+    assert list(check.handleInputRows(("1",), iter([row]), None)) == []
+    assert [r.version for r in check.handleInputRows(("1",), iter([Row(text="u", path="p", symbol="s", digest="e")]), None)] == [2]
+    assert check.state.calls == ["get", "update", "get", "get", "update"]
+
+
 def test_live_traces_add_up_over_restarts(spark):
     spans = spark.range(1000).selectExpr(
         "id", "if(id % 3 = 0, concat('t', id % 7), 'hot') as trace_id", "if(id % 2 = 0, 'tool.x', 'engine') as name",
