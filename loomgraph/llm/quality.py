@@ -142,7 +142,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             waiting.append(bordered(*word_buckets(batch.column("text"))))
             if sum(map(len, waiting)) > MET:
                 count()
-        count()
+        # A task without rows, or with none since the last count, has nothing waiting.
+        if waiting:
+            count()
         met = np.flatnonzero(total.any(axis=1))
         columns = {"bucket": pa.array(met, pa.int32())}
         yield pa.record_batch(columns | {f"v{i}": pa.array(total[met, i]) for i in range(DIM)})

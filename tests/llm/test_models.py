@@ -329,3 +329,9 @@ def test_form_and_root(spark):
     frame = spark.createDataFrame([(i, "letter letter lettr lettr letters") for i in range(9)], "doc_id long, text string")
     found = {r["word"]: r for r in variants.variants(frame).collect()}
     assert found["letters"]["form"] == found["letters"]["root"] == "letter" and found["letter"]["form"] is None
+
+
+def test_word_vectors_of_tasks_without_rows(spark):
+    frame = spark.createDataFrame([("one two three two",), ("three two one",)], "text string")
+    whole = quality.word_vectors(frame.coalesce(1))
+    assert whole.any() and (quality.word_vectors(frame.repartition(6)) == whole).all()
