@@ -261,3 +261,20 @@ def test_near_copies_come_by_fingerprints_first(spark, tmp_path, monkeypatch):
     judged = located(docs, "doc_id").withColumn("component_id", F.lit(0).cast("long"))
     found = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs, judged).collect()}
     assert found == {i: 0 if i < 30 else i for i in range(40)}
+
+
+def test_pipeline_drops_what_fingerprints_link(spark, tmp_path):
+    """Fingerprints weigh repeats, sets do not: a link of either counts, also by way of the other's."""
+    tail = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    chant = "one two three " * 600
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(5, chant + tail("a")), (3, chant + tail("b")), (2, chant[14:] + tail("b")), (7, long), (1, long + " more"), (6, "else"), (6, "other"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    near = simhash.near_duplicates(docs)
+    exact = jaccard.near_copies(docs, near)
+    assert {r["doc_id"] for r in exact.where("kept").collect()} >= {2, 5}
+    found = jaccard.united(exact, near).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (1, 1), (2, 2), (3, 2), (5, 2), (6, 6), (6, 6), (7, 1)]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2, 6, 6]
