@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.scans import overlapping, prefix, segment_of, top_per
-from loomgraph.session import durable, large
+from loomgraph.session import durable, large, release
 
 #: Commits touching more files than this are counted by file groups, not by file pairs.
 WIDE_COMMIT = 64
@@ -30,7 +30,7 @@ def author_activity(commits: DataFrame, top: int = 20) -> DataFrame:
 
 
 def _histories(broad: DataFrame) -> DataFrame:
-    """``path, group, touched``: files that took part in the same commits share a group.
+    """``path, group, touched``: files that took part in the same commits share a group, named by its first file.
 
     A set of commits is named by its size and by the sum and exclusive or of two 64-bit hashes of
     its members, which add up commit by commit: no file's history is ever one value.
@@ -40,7 +40,16 @@ def _histories(broad: DataFrame) -> DataFrame:
     sketch = broad.groupBy("path").agg(
         F.count("*").alias("touched"), F.sum(low).alias("_s"), F.bit_xor(one).alias("_x"), F.bit_xor(other).alias("_y")
     )
-    return sketch.select("path", F.concat_ws(":", "touched", "_s", "_x", "_y").alias("group"), "touched")
+    alike = ["touched", "_s", "_x", "_y"]
+    named = sketch.groupBy(*alike).agg(F.min("path").alias("group"))
+    return sketch.join(large(named), alike).select("path", "group", "touched")
+
+
+def _counted(member: DataFrame) -> DataFrame:
+    """``ga, gb, common``: commits of at most ``WIDE_COMMIT`` files that two groups share, of all pairs ``ga < gb`` that do."""
+    few = member.filter(F.col("_files") <= WIDE_COMMIT)
+    met = few.select("sha", F.col("group").alias("ga")).join(few.select("sha", F.col("group").alias("gb")), "sha").filter("ga < gb")
+    return met.groupBy("ga", "gb").agg(F.count("*").alias("common"))
 
 
 def _overlaps(pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -49,9 +58,7 @@ def _overlaps(pairs: DataFrame, member: DataFrame) -> DataFrame:
     A commit of at most ``WIDE_COMMIT`` files counts its own pairs, so a membership costs a bounded
     number of rows, however long the histories are. Wider commits are looked up pair by pair.
     """
-    few = member.filter(F.col("_files") <= WIDE_COMMIT)
-    met = few.select("sha", F.col("group").alias("ga")).join(few.select("sha", F.col("group").alias("gb")), "sha").filter("ga < gb")
-    met = met.groupBy("ga", "gb").agg(F.count("*").alias("common")).join(pairs.select("ga", "gb"), ["ga", "gb"], "left_semi")
+    met = _counted(member).join(large(pairs.select("ga", "gb")), ["ga", "gb"], "left_semi")
     many = member.filter(F.col("_files") > WIDE_COMMIT)
     first = pairs.join(many.select(F.col("group").alias("ga"), "sha"), "ga")
     found = first.join(many.select(F.col("group").alias("gb"), "sha"), ["gb", "sha"]).groupBy("ga", "gb").agg(F.count("*").alias("common"))
@@ -62,7 +69,7 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs ``ga < gb`` of groups that meet in a commit, tile by tile.
 
     ``left`` and ``right`` hold ``sha, group``. A commit's groups are dealt to tiles of about ``TILE``
-    on both sides, and every pair of tiles is a join key of its own.
+    on both sides, and every pair of tiles is a join key of its own. A frame with itself meets in one order.
     """
     tiles = right.groupBy("sha").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_rights"))
     tiles = left.groupBy("sha").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_lefts")).join(tiles, "sha")
@@ -72,7 +79,7 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
         spread = F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1)).alias(f"_{other[0]}")
         return side.join(tiles, "sha").select("sha", F.col("group").alias(name), tile.cast("int").alias(f"_{own[0]}"), spread)
 
-    met = dealt(left, "x", "lefts", "rights").join(dealt(right, "y", "rights", "lefts"), ["sha", "_l", "_r"]).filter("x <> y")
+    met = dealt(left, "x", "lefts", "rights").join(dealt(right, "y", "rights", "lefts"), ["sha", "_l", "_r"]).filter("x < y" if left is right else "x <> y")
     return met.select(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb")).distinct()
 
 
@@ -102,8 +109,20 @@ def co_change(commits: DataFrame, top: int = 30, wide: int = WIDE_COMMIT) -> Dat
     widest few of either, so the widest commits are left out of the search; what meets is
     recounted. Of the pairs of two groups, all equal, only those of the ``top + 1`` first files
     of each can reach the result. So the result equals the full count.
+
+    Files are numbered in the order of their paths, so that pairs are two numbers.
     """
-    files = durable(touches(commits))
+    named = touches(commits)
+    numbers = durable(named.select("path").distinct().orderBy("path").withColumn("_number", F.monotonically_increasing_id()))
+    files = durable(named.join(large(numbers), "path").select("sha", F.col("_number").alias("path")))
+
+    def first_pairs(found: DataFrame) -> DataFrame:
+        """The first pairs in order, under the paths of their files."""
+        best = found.orderBy(*order).limit(top)
+        for end in ("left", "right"):
+            best = best.join(numbers.select(F.col("_number").alias(end), F.col("path").alias(f"_{end}")), end)
+        return best.select(F.col("_left").alias("left"), F.col("_right").alias("right"), "commits").orderBy(*order)
+
     sizes = files.groupBy("sha").agg(F.count("*").alias("_files"))
     is_wide = F.col("_files") > wide
     narrow = files.join(sizes.filter(~is_wide).select("sha"), "sha", "left_semi")
@@ -118,12 +137,13 @@ def co_change(commits: DataFrame, top: int = 30, wide: int = WIDE_COMMIT) -> Dat
     order = [F.desc("commits"), F.asc("left"), F.asc("right")]
     broad = durable(files.join(sizes.filter(is_wide), "sha"))
     if broad.isEmpty():
-        return met.select("left", "right", F.col("narrow").alias("commits")).orderBy(*order).limit(top)
+        return first_pairs(met.select("left", "right", F.col("narrow").alias("commits")))
     met = durable(met)
     label = durable(_histories(broad))
     groups = label.groupBy("group").agg(F.min("path").alias("path"), F.max("touched").alias("touched"), F.count("*").alias("files"))
     groups = durable(groups)
     member = durable(broad.join(groups.select("path", "group", "touched"), "path").select("sha", "_files", "group", "touched", "path"))
+    release(files)
     firsts = durable(top_per(label.select("path", "group"), ["group"], [F.asc("path")], top + 1))
 
     def side(name: str) -> DataFrame:
@@ -173,6 +193,13 @@ def co_change(commits: DataFrame, top: int = 30, wide: int = WIDE_COMMIT) -> Dat
     def same(condition) -> DataFrame:
         return groups.filter("files > 1").filter(condition).select(F.col("group").alias("ga"), F.col("group").alias("gb"))
 
+    if member.filter(F.col("_files") > WIDE_COMMIT).isEmpty():
+        # Every commit counts its own pairs: there is nothing to look up.
+        apart = _counted(member).filter(F.col("common") >= max(least, 1))
+        alike = same(F.col("touched") >= max(least, 1)).join(groups.select(F.col("group").alias("ga"), F.col("touched").alias("common")), "ga")
+        fresh = expanded(durable(apart.unionByName(alike)))
+        release(broad, label, groups, member, held)
+        return first_pairs(exact.unionByName(fresh))
     more = _but_widest(member, least)
     found = _met(more, more).unionByName(same(F.col("touched") > least))
     if least:
@@ -182,7 +209,7 @@ def co_change(commits: DataFrame, top: int = 30, wide: int = WIDE_COMMIT) -> Dat
         found = found.unionByName(_met(ties.join(front, "group", "left_semi"), ties))
         found = found.unionByName(same((F.col("touched") == least) & (F.col("path") <= last)))
     fresh = expanded(counted(durable(found.distinct())).filter(F.col("common") >= max(least, 1)))
-    return exact.unionByName(fresh).orderBy(*order).limit(top)
+    return first_pairs(exact.unionByName(fresh))
 
 
 def line_ownership(blame: DataFrame, keys: list[str]) -> DataFrame:

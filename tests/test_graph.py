@@ -433,3 +433,21 @@ def test_full_text_of_many_terms_hands_on_few_rows(spark, monkeypatch, cells, pa
     monkeypatch.setattr(type(f), "groupBy", lambda frame, *keys: (made.append(frame) if "query_id" in frame.columns else None) or group(frame, *keys))
     search.full_text(f.limit(150).filter("path is not null").dropDuplicates(["path"]).coalesce(1), q, 5, inline_limit=0)
     assert all("term" not in frame.columns and frame.count() <= 5 * len(queries) for frame in made) and made
+
+
+def test_commits_that_count_their_pairs_are_not_searched(spark, monkeypatch):
+    """Where no commit is too wide for its pairs, no pairs are looked for first, and rows hold numbers, not histories."""
+    rng = random.Random(12)
+    rows = [(f"c{i}", f"f{j:02d}", "x", "y") for i in range(60) for j in rng.sample(range(25), rng.randint(1, 9))]
+    rows += [(f"d{i}", f"f{j:02d}", "x", "y") for i in range(5) for j in (90, 91, 92, 93)]
+    seen = []
+    counted = history._counted
+    monkeypatch.setattr(history, "_counted", lambda member: seen.append(member) or counted(member))
+    monkeypatch.setattr(history, "_met", lambda *sides: pytest.fail("pairs were looked for"))
+    got = [tuple(r) for r in history.co_change(spark.createDataFrame(rows, "sha string, path string, author string, email string"), 12, 3).collect()]
+    commits = {}
+    for sha, path, *_ in rows:
+        commits.setdefault(sha, set()).add(path)
+    pairs = Counter((a, b) for files in commits.values() for a in files for b in files if a < b)
+    assert got == [(a, b, n) for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))[:12]]
+    assert dict(seen[0].dtypes)["group"] == "bigint"
